@@ -1,0 +1 @@
+"""Empty on purpose: the analyses in scope are batch jobs over a stored log."""
