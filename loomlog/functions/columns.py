@@ -6,7 +6,7 @@ depend on the session time zone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 USER = "user_pseudo_id"
@@ -25,16 +25,20 @@ def local_datetime(micros: Column, tz: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
-def epoch_micros(utc: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", _ntz("1970-01-01 00:00:00"), utc)
-
-
 def whole_seconds(ts: Column) -> Column:
     """Second number on a fixed axis; subtracting two counts second boundaries.
 
-    The origin lies before any event, so the truncation is always a floor.
+    Built from the fields of the wall-clock value, because ``timestamp_diff``
+    would go through the session time zone.
     """
-    return F.timestamp_diff("SECOND", _ntz("0001-01-01 00:00:00"), ts)
+    day = F.unix_date(F.to_date(ts)).cast("bigint")
+    return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def epoch_micros(utc: Column) -> Column:
+    """Microseconds since the epoch of a UTC wall-clock value."""
+    fraction_of_minute = (F.date_part(F.lit("SECOND"), utc) * 1_000_000).cast("bigint")
+    return (whole_seconds(utc) - F.second(utc)) * 1_000_000 + fraction_of_minute
 
 
 def clock_time(ts: Column) -> Column:
@@ -82,6 +86,16 @@ def period_name(grain: str) -> str:
     return {"day": "event_date", "week": "event_week", "month": "event_month"}[grain]
 
 
+def broadcast_days(days: DataFrame) -> DataFrame:
+    """Broadcast a table with one row per date, week or month.
+
+    The hint is safe at any scale of the log: the key is a DATE column without
+    duplicates, so the table cannot have more rows than the calendar has days
+    (36,525 per century, 3.65 million for all dates there are).
+    """
+    return F.broadcast(days)
+
+
 def percent(part: Column, whole: Column, digits: int = 3) -> Column:
     """Rounded percentage, NULL when the whole is 0."""
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")) * 100, digits)

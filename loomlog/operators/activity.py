@@ -9,6 +9,7 @@ from loomlog.functions.columns import (
     DAY,
     DOW_LABELS,
     USER,
+    broadcast_days,
     percent,
     period,
     period_name,
@@ -48,20 +49,18 @@ def active_user_summary(active: DataFrame, column: str) -> DataFrame:
 def stickiness(log: DataFrame, grain: str = "month") -> DataFrame:
     """Daily users as a percentage of the week's or month's users.
 
-    Both counts start from the same user-day base, so the log is read and
-    shuffled once; the join is between calendar-sized tables.
+    Both counts start from the same user-day base, whose shuffle the plan
+    reuses, so the log is read once; the join is between calendar-sized
+    tables. The visit days of all users of a period add up to the sum of its
+    daily users.
     """
     days = user_days(log)
     key, wide = period_name(grain), _ACTIVE[grain]
     dau = days.groupBy(DAY).agg(F.count("*").alias("dau"))
-    span = days.select(period(grain), USER).groupBy(key).agg(F.count_distinct(USER).alias(wide))
-    daily = dau.withColumn(key, period(grain))
-    return daily.join(span, key).select(
-        DAY,
-        "dau",
-        wide,
-        percent(F.col("dau"), F.col(wide), 4).alias("stickiness"),
-        F.sum("dau").over(Window.partitionBy(key)).alias("sum_of_dau"),
+    per_user = days.groupBy(period(grain), USER).agg(F.count("*").alias("visit_days"))
+    span = per_user.groupBy(key).agg(F.count("*").alias(wide), F.sum("visit_days").alias("sum_of_dau"))
+    return dau.withColumn(key, period(grain)).join(broadcast_days(span), key).select(
+        DAY, "dau", wide, percent(F.col("dau"), F.col(wide), 4).alias("stickiness"), "sum_of_dau"
     )
 
 

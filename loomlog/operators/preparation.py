@@ -45,29 +45,38 @@ def enrich_time(df: DataFrame, ts_us: str = "event_timestamp", tz: str = DEFAULT
     return local.select(*kept, "event_datetime", *_time_columns(F.col("event_datetime")))
 
 
-def _param_value(key: str) -> Column:
-    """Largest text value of one key inside the event's own array."""
-    hits = F.filter("event_params", lambda p: p["key"] == key)
-    values = F.transform(
-        hits, lambda p: F.coalesce(p["value"]["string_value"], p["value"]["int_value"].cast("string"))
-    )
-    return F.array_max(values)
+def _single_values(params: Column) -> Column:
+    """The parameter array as is, or one array per element if a key repeats."""
+    repeats = F.size(F.array_distinct(params["key"])) < F.size(params)
+    return F.explode(F.when(repeats, F.transform(params, lambda p: F.array(p))).otherwise(F.array(params)))
+
+
+def _value_of(key: str) -> Column:
+    """Text of the parameter with this key, found by its place in ``names``."""
+    place = F.array_position("names", key).cast("int") - 1
+    value = F.get(F.col("params"), place)["value"]
+    return F.coalesce(value["string_value"], value["int_value"].cast("string"))
 
 
 def pivot_params(raw: DataFrame, keys: Sequence[str] | None = None, tz: str = DEFAULT_TZ) -> DataFrame:
     """One text column per parameter key.
 
-    The values are picked inside each row, so the array is never multiplied
-    into rows; the grouping then only merges events whose attributes are all
-    equal. Events without parameters drop out, as they do in an inner unnest.
+    Values are picked inside the row, so an event stays one row on its way
+    into the shuffle however many parameters it has. Only an event that
+    repeats a key becomes one row per parameter; the grouping, which has to
+    merge events with equal attributes anyway, then keeps the largest value
+    per key. Events without parameters drop out, as in an inner unnest.
     """
     keys = param_keys(raw) if keys is None else sorted(keys)
-    flat = raw.where(F.size("event_params") > 0).select(
+    events = raw.where(F.size("event_params") > 0).select(
         local_datetime(F.col("event_timestamp"), tz).alias("event_datetime"),
         USER,
         "user_id",
         "event_name",
-        *[_param_value(k).alias(k) for k in keys],
+        _single_values(F.col("event_params")).alias("params"),
+    )
+    flat = events.withColumn("names", F.col("params")["key"]).select(
+        *_ATTRIBUTES, *[_value_of(k).alias(k) for k in keys]
     )
     if keys:
         merged = flat.groupBy(*_ATTRIBUTES).agg(*[F.max(F.col(f"`{k}`")).alias(k) for k in keys])

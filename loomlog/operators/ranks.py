@@ -34,9 +34,10 @@ def rank_histogram(hist: DataFrame, value: str, by: Sequence[str] = (), bounded:
     """
     by = list(by)
     if bounded:
+        ties = F.sum("n").over(Window.partitionBy(*by, value))
         upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))
         total = F.sum("n").over(Window.partitionBy(*by))
-        counted = hist.select("*", upto.alias("upto"), total.alias("total"))
+        counted = hist.select("*", upto.alias("upto"), total.alias("total"), ties.alias("ties"))
     else:
         # The partition number has to be stored: planning the range partitioning
         # twice could draw the borders differently.
@@ -50,17 +51,19 @@ def rank_histogram(hist: DataFrame, value: str, by: Sequence[str] = (), bounded:
             F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("before"),
             F.sum("part_n").over(Window.partitionBy(*by)).alias("total"),
         )
-        local = placed.withColumn("local", F.sum("n").over(Window.partitionBy(*by, "part").orderBy(value)))
+        # equal values share a range, so both windows work on the same layout
+        local = placed.withColumns({
+            "local": F.sum("n").over(Window.partitionBy(*by, "part").orderBy(value)),
+            "ties": F.sum("n").over(Window.partitionBy(*by, "part", value)),
+        })
         # one row per shuffle partition and ``by`` key: bounded by the settings
         counted = (
             local.join(F.broadcast(offsets), [*by, "part"])
             .withColumn("upto", F.col("local") + F.col("before"))
             .drop("local", "before", "part")
         )
-    ties = F.sum("n").over(Window.partitionBy(*by, value))
     return (
-        counted.withColumn("ties", ties)
-        .withColumn("rank_asc", F.col("upto") - (F.col("ties") - 1) / 2)
+        counted.withColumn("rank_asc", F.col("upto") - (F.col("ties") - 1) / 2)
         .withColumn("rank_desc", F.col("total") - F.col("upto") + (F.col("ties") + 1) / 2)
         .drop("upto")
     )
@@ -94,7 +97,7 @@ def mean_ranks(
 def rank_sums(
     hist: DataFrame, group: str, value: str, by: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:
-    """Per group: size, ascending rank sum, and its share of sum(t^3 - t).
+    """Per group: size, size of all groups, ascending rank sum, share of sum(t^3 - t).
 
     ``hist`` comes from :func:`value_histogram` with ``by`` and ``group`` as keys.
     A tie class of t rows adds (t^2 - 1) for each of its rows; doubles, because
@@ -104,6 +107,7 @@ def rank_sums(
     t = F.col("ties").cast("double")
     return ranks.groupBy(*by, group).agg(
         F.sum("n").alias("n"),
+        F.max("total").alias("total"),
         F.sum(F.col("rank_asc") * F.col("n")).alias("rank_sum"),
         F.sum((t * t - 1) * F.col("n")).alias("tie_sum"),
     )

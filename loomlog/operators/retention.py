@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.columns import DAY, USER, percent, sunday_week, week_start
 from loomlog.operators.activity import user_days
+from loomlog.sources.tables import cut_lineage
 
 
 def week_diffs(log: DataFrame) -> DataFrame:
@@ -76,6 +77,7 @@ def cohort_matrix(
     looked up first; there are at most as many as the log has weeks.
     """
     if weeks is None:
+        cohorts = cut_lineage(cohorts)  # a small table; without this the log would be read twice
         weeks = sorted(r[0] for r in cohorts.select("week_diff").distinct().collect())
     if drop_week0:
         weeks = [w for w in weeks if w != 0]

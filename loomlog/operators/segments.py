@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.functions.columns import DAY, USER, week_start
+from loomlog.functions.columns import DAY, USER, broadcast_days, percent, week_start
 from loomlog.operators.activity import user_days
-from loomlog.operators.orders import broadcast_days
 
 # Segment labels.
 VISIT_LABELS = ("one_day", "short", "mid", "long")
@@ -93,7 +92,7 @@ def segment_shares(seg: DataFrame, parents: Mapping[str, str] | None = None) ->
     nodes = leaves.unionByName(inner) if parents else leaves
     whole = F.sum("users").over(Window.partitionBy("parent"))
     return nodes.select(
-        "label", "parent", "users", F.round(F.col("users") / whole * 100, 3).alias("percent_of_parent")
+        "label", "parent", "users", percent(F.col("users"), whole).alias("percent_of_parent")
     )
 
 

@@ -64,8 +64,8 @@ def mann_whitney(
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
-    variance = n1 * n2 / 12 * ((n + 1) - F.col("tie_sum") / (n * (n - 1)))
-    with_u = row.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2).withColumn(
+    variance = n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie_sum"), n * (n - 1)))
+    with_u = row.withColumn("u", F.when(n2 > 0, F.col("r1") - n1 * (n1 + 1) / 2)).withColumn(
         "z",
         F.try_divide(
             F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5,
@@ -75,21 +75,23 @@ def mann_whitney(
     return with_u.select(
         "n1", "n2", "u", "z",
         mann_whitney_p("u", "z", "n1", "n2", "tie_sum").alias("p_value"),
-        (2 * F.col("u") / (n1 * n2) - 1).alias("rank_biserial"),
+        (F.try_divide(2 * F.col("u"), n1 * n2) - 1).alias("rank_biserial"),
     )
 
 
 def _kruskal(hist: DataFrame, group: str, value: str, by: Sequence[str], bounded: bool) -> DataFrame:
     sums = rank_sums(hist, group, value, by, bounded)
     n = F.col("n_total").cast("double")
-    h = 12 / (n * (n + 1)) * F.col("squares") - 3 * (n + 1)
-    scale = 1 - F.col("tie_sum") / (n * n * n - n)
+    # squared distances from the mean rank: no difference of two huge numbers
+    off = F.col("rank_sum") / F.col("n") - (F.col("total") + 1) / 2
+    h = 12 / (n * (n + 1)) * F.col("squares")
+    scale = 1 - F.try_divide(F.col("tie_sum"), n * n * n - n)
     return (
         sums.groupBy(*by)
         .agg(
             F.sum("n").alias("n_total"),
             F.count("*").alias("k"),
-            F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("squares"),
+            F.sum(F.col("n") * off * off).alias("squares"),
             F.sum("tie_sum").alias("tie_sum"),
         )
         .withColumn("h", h / F.when(scale > 0, scale))
@@ -130,7 +132,7 @@ def dunn(
     # Every group meets every other: the peers travel as one array of k structs.
     peers = stats.withColumn("peer", F.explode("peers")).drop("peers")
     total = F.col("total")
-    spread = total * (total + 1) / 12 - F.col("ties") / (12 * (total - 1))
+    spread = total * (total + 1) / 12 - F.try_divide(F.col("ties"), 12 * (total - 1))
     error = F.sqrt(F.when(spread > 0, spread) * (1 / F.col("n") + 1 / F.col("peer.n")))
     same = F.col(group) == F.col(f"peer.{group}")
     return (
@@ -167,7 +169,7 @@ def _chi_square(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
     def cell(observed, column_total):
-        expected = (F.col("yes") + F.col("no")) * column_total / (F.col("all_yes") + F.col("all_no"))
+        expected = F.try_divide((F.col("yes") + F.col("no")) * column_total, F.col("all_yes") + F.col("all_no"))
         off = F.abs(observed - expected)
         off = F.when(F.col("k") == 2, off - F.least(F.lit(0.5), off)).otherwise(off)
         return off * off / F.when(expected > 0, expected)
@@ -209,9 +211,9 @@ def _two_groups(counts: DataFrame, first: str, second: str, group: str) -> DataF
 def proportion_ztest(counts: DataFrame, first: str, second: str, group: str = SEGMENT) -> DataFrame:
     """Two-sided z test of two proportions with a pooled estimate."""
     x1, n1, x2, n2 = (F.col(c) for c in ("x1", "n1", "x2", "n2"))
-    pooled = (x1 + x2) / (n1 + n2)
-    variance = pooled * (1 - pooled) * (1 / n1 + 1 / n2)
-    z = (x1 / n1 - x2 / n2) / F.sqrt(F.when(variance > 0, variance))
+    pooled = F.try_divide(x1 + x2, n1 + n2)
+    variance = pooled * (1 - pooled) * F.try_divide(n1 + n2, n1 * n2)
+    z = (F.try_divide(x1, n1) - F.try_divide(x2, n2)) / F.sqrt(F.when(variance > 0, variance))
     return _two_groups(counts, first, second, group).select(z.alias("z")).withColumn("p_value", normal_p("z"))
 
 
@@ -231,12 +233,19 @@ def risk_ratio(funnel: DataFrame, first: str, second: str, step: int = 4) -> Dat
 
 def _correlate(df: DataFrame, x: str, y: str, by: Sequence[str], name: str) -> DataFrame:
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
-    # a constant side has no correlation, and neither have fewer than 3 pairs
+    sides = F.col("sx") * F.col("sy")
+    # a constant side has no correlation (corr() itself would divide by 0), and
+    # neither have fewer than 3 pairs
+    r = F.when((F.col("n") > 2) & (sides > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cov") / sides)))
     return (
         pairs.groupBy(*by)
-        .agg(F.count("*").alias("n"), r.alias("r"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy"))
-        .select(*by, "n", F.when((F.col("n") > 2) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("r")).alias(name))
+        .agg(
+            F.count("*").alias("n"),
+            F.covar_pop(x, y).alias("cov"),
+            F.stddev_pop(x).alias("sx"),
+            F.stddev_pop(y).alias("sy"),
+        )
+        .select(*by, "n", r.alias(name))
         .withColumn("p_value", correlation_p(name, "n"))
     )
 

@@ -16,6 +16,7 @@ from loomlog.plans import retention as ret
 from loomlog.plans.funnel import COUNTS, FUNNELS
 from loomlog.plans.oracle import chi2_p, normal_p, t_p, with_ctes
 from loomlog.plans.retention import GROUPS, RATE, USERS, _round, aligned_sql, centers_sql
+from loomlog.sources.adapters import orders_table
 from loomlog.sources.adapters import orders_visit_segments as visit_seg
 
 _INFLOW = ("holiday", "normal_day")
@@ -31,7 +32,7 @@ def _stacked(value, how):
 
 def _order_values(s, d):
     """Price of every order with its customer's visit segment."""
-    orders = s.read.parquet(f"{d}/orders.parquet").select(
+    orders = orders_table(s, d).select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user_pseudo_id"), "o_orderkey", "o_totalprice"
     )
     return orders.join(visit_seg(s, d), "user_pseudo_id")

@@ -18,11 +18,23 @@ ORDERS_HOLIDAY = 30
 ORDERS_CUTS = (90, 240)
 
 
+# Declared, so that no job has to look into the files for the schema.
+EVENTS_SCHEMA = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
+ORDERS_SCHEMA = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string"
+)
+
+
+def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.schema(ORDERS_SCHEMA).parquet(f"{sf_dir}/orders.parquet")
+
+
 def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested raw log, one row per event."""
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    kind = F.col("event_type")
+    kind, k = F.col("event_type"), F.col("k")
     screen = (
         F.when(kind == "view", F.when(k % 3 == 1, "restaurant").otherwise("home"))
         .when(kind == "click", F.when(k % 3 == 1, "restaurant").otherwise("home"))
@@ -39,10 +51,25 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", "click_payment")
         .otherwise("screen_view")
     )
-    device = F.concat(F.lit("p"), F.col("user_id").cast("string"))
     local = F.convert_timezone(F.lit("UTC"), F.lit(TIME_ZONE), F.col("ts"))
     session = F.concat_ws(
-        "-", device, F.date_format(F.to_date(local), "yyyyMMdd"), F.floor(F.hour(local) / 6).cast("string")
+        "-",
+        "user_pseudo_id",
+        F.replace(F.to_date("local").cast("string"), F.lit("-"), F.lit("")),
+        F.floor(F.hour("local") / 6).cast("string"),
+    )
+    member = (F.col("user_id") % 20 != 0) & (kind != "error")
+    # Separate steps: each parsed or converted value is computed once per row.
+    ev = (
+        spark.read.schema(EVENTS_SCHEMA)
+        .parquet(f"{sf_dir}/events.parquet")
+        .select(
+            "ts", "user_id", "event_type",
+            F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+            local.alias("local"),
+            F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
+        )
+        .withColumns({"screen": screen, "event_name": name, "session": session})
     )
 
     def param(key, text, number):
@@ -50,18 +77,17 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(F.lit(key).alias("key"), value.alias("value"))
 
     base = [
-        param("firebase_screen", screen, F.lit(None)),
-        param("session_id", session, F.lit(None)),
+        param("firebase_screen", F.col("screen"), F.lit(None)),
+        param("session_id", F.col("session"), F.lit(None)),
     ]
     params = F.when(kind == "click", F.array(*base, param("food_id", F.lit(None), k))).otherwise(F.array(*base))
-    member = (F.col("user_id") % 20 != 0) & (kind != "error")
     return ev.select(
         F.to_date("ts").alias("event_date"),
         epoch_micros(F.col("ts")).alias("event_timestamp"),
-        name.alias("event_name"),
+        "event_name",
         params.alias("event_params"),
         F.when(member, F.col("user_id")).alias("user_id"),
-        device.alias("user_pseudo_id"),
+        "user_pseudo_id",
         F.when(F.col("user_id") % 2 == 0, "IOS").otherwise("ANDROID").alias("platform"),
     )
 
@@ -89,7 +115,7 @@ def events_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat log in which every order is one event of its customer."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = orders_table(spark, sf_dir)
     rank = F.substring("o_orderpriority", 1, 1)
     screen = (
         F.when(rank == "1", "cart").when(rank == "2", "food_detail").when(rank == "3", "restaurant")

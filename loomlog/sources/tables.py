@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ def write_table(df: DataFrame, path: str, partition: str | None = "event_date",
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _STORED: dict[tuple[str, str], StructType] = {}
+_LOCK = threading.RLock()  # reentrant: one stored table may build on another
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,21 +68,18 @@ def stored(
     label = f"{name}-{hashlib.sha1(source.encode()).hexdigest()[:12]}"
     key = (spark.sparkContext.applicationId, label)
     path = f"{shared_dir(spark)}/{label}"
-    if key not in _STORED:
-        df = build()
-        write_table(df, path, partition)
-        _STORED[key] = df.schema
+    with _LOCK:
+        if key not in _STORED:
+            df = build()
+            write_table(df, path, partition)
+            _STORED[key] = df.schema
     return read_table(spark, path, _STORED[key])
 
 
-_COUNTER = [0]
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that values which
     depend on how rows were partitioned become plain data."""
     spark = df.sparkSession
-    _COUNTER[0] += 1
-    path = f"{shared_dir(spark)}/cut-{_COUNTER[0]}"
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     write_table(df, path, None)
     return read_table(spark, path, df.schema)
