@@ -224,7 +224,8 @@ def range_retention(log: DataFrame) -> DataFrame:
     weeks = log.select(USER, week_start(F.col(DAY)).alias("w")).distinct()
     gap = (F.datediff("w", F.min("w").over(Window.partitionBy(USER))) / 7).cast("bigint")
     counts = weeks.select(gap.alias("week_diff")).groupBy("week_diff").agg(F.count("*").alias("retain_user"))
-    base = F.max(F.when(F.col("week_diff") == 0, F.col("retain_user"))).over(Window.partitionBy())
+    every = Window.partitionBy()  # over one row per week difference
+    base = F.max(F.when(F.col("week_diff") == 0, F.col("retain_user"))).over(every)
     return counts.withColumn("first_week_retain_user", base).withColumn(
         "retention_ratio", percent(F.col("retain_user"), F.col("first_week_retain_user"))
     )

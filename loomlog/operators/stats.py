@@ -59,7 +59,7 @@ def mann_whitney(
         return F.max(F.when(F.col(group) == label, F.col(column)))
 
     row = sums.agg(
-        of(first, "n").alias("n1"), of(second, "n").alias("n2"),
+        F.coalesce(of(first, "n"), F.lit(0)).alias("n1"), F.coalesce(of(second, "n"), F.lit(0)).alias("n2"),
         of(first, "rank_sum").alias("r1"), F.sum("tie_sum").alias("tie_sum"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -94,7 +94,7 @@ def _kruskal(hist: DataFrame, group: str, value: str, by: Sequence[str], bounded
             F.sum(F.col("n") * off * off).alias("squares"),
             F.sum("tie_sum").alias("tie_sum"),
         )
-        .withColumn("h", h / F.when(scale > 0, scale))
+        .withColumn("h", h / F.when((scale > 0) & (F.col("k") > 1), scale))
         .withColumn("dof", (F.col("k") - 1).cast("int"))
         .select(*by, "n_total", "h", "dof", chi2_p("h", "dof").alias("p_value"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from loomlog.operators import funnel as fn
 from loomlog.operators import segments as sg
 from loomlog.plans.oracle import with_ctes
-from loomlog.plans.orders import ev_holidays, inflow_day
+from loomlog.plans.orders import ev_holidays, inflow
 from loomlog.sources.adapters import events_target as ev
 from loomlog.sources.adapters import orders_log as od
 from loomlog.sources.adapters import orders_visit_segments as seg
@@ -27,15 +27,15 @@ FUNNELS = {
     "open_funnel_visit": lambda s, d: fn.open_funnel(od(s, d), seg(s, d)),
     "open_funnel_interval": lambda s, d: fn.open_funnel(od(s, d), intervals(s, d)),
     "open_funnel_revisit_split": lambda s, d: fn.open_funnel(od(s, d), split(s, d)),
-    "open_funnel_revisit_inflow": lambda s, d: fn.open_funnel(od(s, d), inflow_day(s, d, "revisit"), None),
-    "open_funnel_inflow": lambda s, d: fn.open_funnel(od(s, d), inflow_day(s, d), None),
+    "open_funnel_revisit_inflow": lambda s, d: fn.open_funnel(od(s, d), inflow("revisit_day")(s, d), None),
+    "open_funnel_inflow": lambda s, d: fn.open_funnel(od(s, d), inflow("day")(s, d), None),
 }
 
 COUNTS = {
     "order_counts_split": lambda s, d: fn.order_counts(od(s, d), split(s, d)),
     "order_counts_interval": lambda s, d: fn.order_counts(od(s, d), intervals(s, d)),
-    "order_counts_revisit_inflow": lambda s, d: fn.order_counts(od(s, d), inflow_day(s, d, "revisit")),
-    "order_counts_inflow": lambda s, d: fn.order_counts(od(s, d), inflow_day(s, d), base="all"),
+    "order_counts_revisit_inflow": lambda s, d: fn.order_counts(od(s, d), inflow("revisit_day")(s, d)),
+    "order_counts_inflow": lambda s, d: fn.order_counts(od(s, d), inflow("day")(s, d), base="all"),
 }
 
 QUERIES = {

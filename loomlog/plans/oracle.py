@@ -265,13 +265,13 @@ def _simpson(density: str, upper: str) -> str:
 def normal_p(z: str) -> str:
     """Two-sided normal p of an expression."""
     mass = _simpson(f"exp(-power(abs({z}) * i / 2000.0, 2) / 2)", f"abs({z})")
-    return f"greatest(0.0, 1 - 2 / sqrt(2 * pi()) * {mass})"
+    return f"CASE WHEN {z} IS NOT NULL THEN greatest(0.0, 1 - 2 / sqrt(2 * pi()) * {mass}) END"
 
 
 def chi2_p(x: str, dof: str) -> str:
-    """Upper tail for 1 or 2 degrees of freedom."""
+    """Upper tail for up to 2 degrees of freedom (a single group has none)."""
     root = f"sqrt({x})"
-    return f"CASE {dof} WHEN 1 THEN {normal_p(root)} WHEN 2 THEN exp(-({x}) / 2) END"
+    return f"CASE {dof} WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN {normal_p(root)} WHEN 2 THEN exp(-({x}) / 2) END"
 
 
 def t_p(r: str, n: str) -> str:
@@ -280,4 +280,4 @@ def t_p(r: str, n: str) -> str:
     t = f"abs({r} * sqrt({dof} / (1 - {r} * {r})))"
     mass = _simpson(f"power(1 + power({t} * i / 2000.0, 2) / {dof}, -({dof} + 1) / 2.0)", t)
     scale = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0)) / sqrt({dof} * pi())"
-    return f"greatest(0.0, 1 - 2 * {scale} * {mass})"
+    return f"CASE WHEN {r} IS NOT NULL THEN greatest(0.0, 1 - 2 * {scale} * {mass}) END"

@@ -23,12 +23,12 @@ def od_holidays(s, d, buyer="user_id"):
     return ords.holidays(od(s, d), adapters.ORDERS_HOLIDAY, buyer)
 
 
-def inflow_day(s, d, base="all"):
-    return sg.inflow_segments(od(s, d), od_holidays(s, d), "day", base)
+inflow_day, inflow_week = adapters.orders_inflow_day, adapters.orders_inflow_week
 
 
-def inflow_week(s, d):
-    return sg.inflow_segments(od(s, d), od_holidays(s, d, USER), "week")
+def inflow(kind):
+    """The stored map that the other analyses start from."""
+    return lambda s, d: adapters.stored_inflow(s, d, kind)
 
 
 def _inflow_sizes(segments):
@@ -58,16 +58,16 @@ QUERIES = {
         seg(s, d), {"short_term_users": ["short"], "mid_term_users": ["mid"], "long_term_users": ["long"]}
     ),
     "visit_segment_shares": lambda s, d: sg.segment_shares(seg(s, d), VISIT_PARENTS),
-    "inflow_shares": lambda s, d: sg.segment_shares(inflow_day(s, d)),
+    "inflow_shares": lambda s, d: sg.segment_shares(inflow("day")(s, d)),
     "holidays": ev_holidays,
     "holidays_by_device": lambda s, d: ev_holidays(s, d, USER),
     "holidays_orders": od_holidays,
     "inflow_revisit_day": lambda s, d: inflow_day(s, d, "revisit"),
     "inflow_day": inflow_day,
     "inflow_week": inflow_week,
-    "inflow_sizes_revisit": lambda s, d: _inflow_sizes(inflow_day(s, d, "revisit")),
-    "inflow_sizes": lambda s, d: _inflow_sizes(inflow_day(s, d)),
-    "inflow_sizes_week": lambda s, d: _inflow_sizes(inflow_week(s, d)),
+    "inflow_sizes_revisit": lambda s, d: _inflow_sizes(inflow("revisit_day")(s, d)),
+    "inflow_sizes": lambda s, d: _inflow_sizes(inflow("day")(s, d)),
+    "inflow_sizes_week": lambda s, d: _inflow_sizes(inflow("week")(s, d)),
     "order_segments": lambda s, d: ords.order_segments(ev(s, d), ev_holidays(s, d)),
     "order_segments_orders": lambda s, d: ords.order_segments(od(s, d), od_holidays(s, d)),
 }

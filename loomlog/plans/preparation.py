@@ -122,7 +122,7 @@ ORACLES = {
                    (1, 'NULLABLE', 'event_datetime', 'timestamp_ntz'), (2, 'NULLABLE', 'event_date', 'date'),
                    (3, 'NULLABLE', 'event_time', 'string'), (4, 'NULLABLE', 'event_week', 'date'),
                    (5, 'NULLABLE', 'event_dow', 'int'), (6, 'NULLABLE', 'user_pseudo_id', 'string'),
-                   (7, 'NULLABLE', 'user_id', 'bigint'), (8, 'REQUIRED', 'event_name', 'string')) AS t(pos, mode, name, type)
+                   (7, 'NULLABLE', 'user_id', 'bigint'), (8, 'NULLABLE', 'event_name', 'string')) AS t(pos, mode, name, type)
                  UNION ALL
                  SELECT 8 + row_number() OVER (ORDER BY key), 'NULLABLE', key, 'string'
                  FROM (SELECT DISTINCT p.key AS key FROM ev_params))""",

@@ -9,7 +9,7 @@ from loomlog.operators import retention as rt
 from loomlog.operators import segments as sg
 from loomlog.plans.funnel import intervals
 from loomlog.plans.oracle import with_ctes
-from loomlog.plans.orders import inflow_day, inflow_week
+from loomlog.plans.orders import inflow
 from loomlog.sources.adapters import orders_log as od
 
 GROUPS = list(sg.REVISIT_LABELS)
@@ -25,7 +25,7 @@ def cohorts_visit(s, d):
 
 
 def cohorts_inflow(s, d):
-    return rt.cohort_retention(od(s, d), inflow_week(s, d))
+    return rt.cohort_retention(od(s, d), inflow("week")(s, d))
 
 
 def aligned(value, how):
@@ -45,7 +45,7 @@ def rates_visit(s, d):
 def rates_inflow(s, d):
     return rt.join_rates(
         rt.calendar_center(cohorts_inflow(s, d)),
-        ords.segment_order_rate(od(s, d), inflow_week(s, d)),
+        ords.segment_order_rate(od(s, d), inflow("week")(s, d)),
         key="calendar_week",
     )
 
@@ -67,8 +67,8 @@ def _center(make, value, how):
 QUERIES = {
     "week_diffs": lambda s, d: rt.week_diffs(od(s, d)),
     "weekly_retention_visit": lambda s, d: rt.weekly_retention(od(s, d), intervals(s, d)),
-    "weekly_retention_revisit_inflow": lambda s, d: rt.weekly_retention(od(s, d), inflow_day(s, d, "revisit")),
-    "weekly_retention_inflow": lambda s, d: rt.weekly_retention(od(s, d), inflow_day(s, d)),
+    "weekly_retention_revisit_inflow": lambda s, d: rt.weekly_retention(od(s, d), inflow("revisit_day")(s, d)),
+    "weekly_retention_inflow": lambda s, d: rt.weekly_retention(od(s, d), inflow("day")(s, d)),
     "cohort_retention": cohorts,
     "cohort_retention_visit": cohorts_visit,
     "cohort_retention_inflow_week": cohorts_inflow,
@@ -87,7 +87,7 @@ QUERIES = {
     "align_groups_rate_median": lambda s, d: _round(aligned(RATE, "median")(s, d), *GROUPS),
     "align_groups_users_mean": lambda s, d: _round(aligned(USERS, "mean")(s, d), *GROUPS),
     "order_rate_weekly_visit": lambda s, d: ords.segment_order_rate(od(s, d), intervals(s, d)),
-    "order_rate_weekly_inflow": lambda s, d: ords.segment_order_rate(od(s, d), inflow_week(s, d)),
+    "order_rate_weekly_inflow": lambda s, d: ords.segment_order_rate(od(s, d), inflow("week")(s, d)),
     "retention_order_rate": lambda s, d: _round(rates_all(s, d), "retention_rate"),
     "retention_order_rate_visit": lambda s, d: _round(rates_visit(s, d), "retention_rate"),
     "calendar_center_inflow": lambda s, d: _round(rt.calendar_center(cohorts_inflow(s, d)), RATE),

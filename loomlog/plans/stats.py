@@ -165,10 +165,10 @@ def _mw_sql(needs, blocks, first, second):
     """U by counting pairs."""
     return with_ctes(
         f"""SELECT n1, n2, u, round(z, 6) AS z,
-                   round(CASE WHEN z <= 0 THEN 1.0::DOUBLE ELSE {normal_p('z')} END, 6) AS p_value,
+                   round(CASE WHEN z <= 0 THEN 1.0::DOUBLE WHEN z > 0 THEN {normal_p('z')} END, 6) AS p_value,
                    round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial
             FROM (SELECT *, (greatest(u, n1 * n2 - u) - n1 * n2 / 2.0::DOUBLE - 0.5::DOUBLE)
-                            / sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1.0::DOUBLE)))) AS z
+                            / nullif(sqrt(n1 * n2 / 12.0::DOUBLE * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1.0::DOUBLE)))), 0) AS z
                   FROM base)""",
         *needs, **blocks,
         a=f"SELECT v FROM smp WHERE g = '{first}'",
@@ -266,11 +266,12 @@ def _chi_sql(funnel, pairs=False):
 def _z_sql(funnel, first, second):
     return with_ctes(
         f"""SELECT round(z, 6) AS z, round({normal_p('z')}, 6) AS p_value
-            FROM (SELECT (a.yes / a.tot - b.yes / b.tot)
-                         / sqrt((a.yes + b.yes) / (a.tot + b.tot) * (1 - (a.yes + b.yes) / (a.tot + b.tot))
-                                * (1 / a.tot + 1 / b.tot)) AS z
-                  FROM obs a, obs b WHERE a.g = '{first}' AND b.g = '{second}')""",
+            FROM (SELECT (ay / atot - byes / btot) / sqrt((ay + byes) / (atot + btot) * (1 - (ay + byes) / (atot + btot))
+                                                    * (1 / atot + 1 / btot)) AS z FROM two)""",
         funnel, obs=_yes_no(funnel),
+        two=f"""SELECT max(yes) FILTER (WHERE g = '{first}') AS ay, max(tot) FILTER (WHERE g = '{first}') AS atot,
+                       max(yes) FILTER (WHERE g = '{second}') AS byes, max(tot) FILTER (WHERE g = '{second}') AS btot
+                FROM obs""",
     )
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions.columns import clock_time, epoch_micros, iso_dow, week_start
+from loomlog.functions.columns import USER, clock_time, epoch_micros, iso_dow, local_datetime, week_start
 from loomlog.operators.preparation import analysis_target, pivot_params
-from loomlog.operators.segments import visit_segments
+from loomlog.operators.orders import holidays
+from loomlog.operators.segments import inflow_segments, visit_segments
 from loomlog.sources.tables import stored
 
 TIME_ZONE = "Asia/Seoul"
@@ -32,8 +33,8 @@ def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(ORDERS_SCHEMA).parquet(f"{sf_dir}/orders.parquet")
 
 
-def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested raw log, one row per event."""
+def nest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a nested log, one row per event."""
     kind, k = F.col("event_type"), F.col("k")
     screen = (
         F.when(kind == "view", F.when(k % 3 == 1, "restaurant").otherwise("home"))
@@ -51,7 +52,6 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", "click_payment")
         .otherwise("screen_view")
     )
-    local = F.convert_timezone(F.lit("UTC"), F.lit(TIME_ZONE), F.col("ts"))
     session = F.concat_ws(
         "-",
         "user_pseudo_id",
@@ -65,10 +65,11 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         .parquet(f"{sf_dir}/events.parquet")
         .select(
             "ts", "user_id", "event_type",
+            epoch_micros(F.col("ts")).alias("event_timestamp"),
             F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-            local.alias("local"),
             F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
         )
+        .withColumn("local", local_datetime(F.col("event_timestamp"), TIME_ZONE))
         .withColumns({"screen": screen, "event_name": name, "session": session})
     )
 
@@ -83,7 +84,7 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = F.when(kind == "click", F.array(*base, param("food_id", F.lit(None), k))).otherwise(F.array(*base))
     return ev.select(
         F.to_date("ts").alias("event_date"),
-        epoch_micros(F.col("ts")).alias("event_timestamp"),
+        "event_timestamp",
         "event_name",
         params.alias("event_params"),
         F.when(member, F.col("user_id")).alias("user_id"),
@@ -92,6 +93,11 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested raw log, stored by date as an app would deliver it."""
+    return stored(spark, "raw", sf_dir, lambda: nest_events(spark, sf_dir), partition="event_date")
+
+
 EVENT_KEYS = ["firebase_screen", "food_id", "session_id"]
 
 
@@ -145,3 +151,24 @@ def orders_visit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, "visit_seg", sf_dir,
         lambda: visit_segments(orders_log(spark, sf_dir), *ORDERS_CUTS),
     )
+
+
+def orders_inflow_day(spark: SparkSession, sf_dir: str, base: str = "all") -> DataFrame:
+    log = orders_log(spark, sf_dir)
+    return inflow_segments(log, holidays(log, ORDERS_HOLIDAY), "day", base)
+
+
+def orders_inflow_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By week, with the holidays counted by device."""
+    log = orders_log(spark, sf_dir)
+    return inflow_segments(log, holidays(log, ORDERS_HOLIDAY, USER), "week")
+
+
+def stored_inflow(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Inflow map ``day``, ``revisit_day`` or ``week``, stored: one row per user."""
+    build = {
+        "day": lambda: orders_inflow_day(spark, sf_dir),
+        "revisit_day": lambda: orders_inflow_day(spark, sf_dir, "revisit"),
+        "week": lambda: orders_inflow_week(spark, sf_dir),
+    }[kind]
+    return stored(spark, f"inflow_{kind}", sf_dir, build)

@@ -12,23 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Parquet table; an explicit schema also fixes the partition column types."""
+def _is_path(target: str) -> bool:
+    return "/" in target
+
+
+def read_table(spark: SparkSession, target: str, schema: StructType | None = None) -> DataFrame:
+    """Table by catalog name, or Parquet by path. For a path, an explicit
+    schema saves looking into the files and fixes the partition column types."""
+    if not _is_path(target):
+        return spark.table(target)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(target)
 
 
-def write_table(df: DataFrame, path: str, partition: str | None = "event_date", mode: str = "overwrite") -> None:
-    """Write Parquet, one directory per ``partition`` value.
+def write_table(df: DataFrame, target: str, partition: str | None = "event_date", mode: str = "overwrite") -> None:
+    """Write Parquet to a path or a catalog table, one directory per ``partition`` value.
 
     The rebalance hint groups rows by partition value so that a task does not
     open one file per date, and lets adaptive execution split a date that is
     much larger than the others over several tasks.
     """
     if partition is None:
-        df.write.mode(mode).parquet(path)
-        return
-    df.hint("rebalance", partition).write.mode(mode).partitionBy(partition).parquet(path)
+        writer = df.write.mode(mode)
+    else:
+        writer = df.hint("rebalance", partition).write.mode(mode).partitionBy(partition)
+    if _is_path(target):
+        writer.parquet(target)
+    else:
+        writer.format("parquet").saveAsTable(target)
 
 
 _LOCAL_ROOTS: dict[str, str] = {}

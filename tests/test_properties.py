@@ -174,3 +174,32 @@ def test_plans_prune_columns_and_read_once(spark):
     for name in ("visit_segments", "open_funnel_inflow", "cohort_retention_visit", "order_rate_daily"):
         text = plan(catalog.QUERIES[name](spark, d))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("kind", ["path", "name"])
+def test_stored_tables_build_on_each_other(spark, tmp_path, kind):
+    from loomlog.operators import preparation_tables as tables
+    from loomlog.sources.adapters import events_raw
+    from loomlog.sources.tables import read_table
+
+    if kind == "path":
+        def at(name):
+            return str(tmp_path / name)
+    else:
+        spark.sql(f"CREATE DATABASE app LOCATION '{tmp_path}/app'")
+
+        def at(name):
+            return f"app.{name}"
+
+    tables.build_cleaned(events_raw(spark, "/root/testdata/sf0.001"), at("cleaned"))
+    tables.build_target(spark, at("cleaned"), at("target"))
+    tables.build_visit_segments(spark, at("target"), at("visit_seg"))
+    tables.build_order_segments(spark, at("target"), at("order_seg"), threshold=40)
+    cleaned, target = read_table(spark, at("cleaned")), read_table(spark, at("target"))
+    assert cleaned.count() == 1000 and target.count() == 940
+    assert dict(target.dtypes)["event_date"] == "date"
+    users = target.select("user_pseudo_id").distinct().count()
+    assert read_table(spark, at("visit_seg")).count() == users == 14
+    assert read_table(spark, at("order_seg")).count() == users
+    pruned = target.where("event_date = date'2024-01-05'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in pruned
