@@ -54,6 +54,11 @@ QUERIES = {
         {"oneday_users": ["one_day"], "revisit_users": _REVISIT, "short_term_users": ["short"],
          "mid_term_users": ["mid"], "long_term_users": ["long"]},
     ),
+    "visit_segment_sizes_four": lambda s, d: sg.segment_sizes(
+        seg(s, d),
+        {"one_day_users": ["one_day"], "short_term_users": ["short"], "mid_term_users": ["mid"],
+         "long_term_users": ["long"]},
+    ),
     "interval_segment_sizes": lambda s, d: sg.segment_sizes(
         seg(s, d), {"short_term_users": ["short"], "mid_term_users": ["mid"], "long_term_users": ["long"]}
     ),
@@ -177,6 +182,7 @@ ORACLES = {
     "visit_segment_sizes": with_ctes(
         _sizes("seg", {"oneday_users": "'one_day'", "revisit_users": "'short', 'mid', 'long'"} | _TERM_SIZES), "seg"
     ),
+    "visit_segment_sizes_four": with_ctes(_sizes("seg", {"one_day_users": "'one_day'"} | _TERM_SIZES), "seg"),
     "interval_segment_sizes": with_ctes(_sizes("seg", _TERM_SIZES), "seg"),
     "visit_segment_shares": with_ctes(
         _SHARES, "seg", "split",

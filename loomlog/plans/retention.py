@@ -74,9 +74,12 @@ QUERIES = {
     "cohort_retention_inflow_week": cohorts_inflow,
     "cohort_matrix_users": lambda s, d: rt.cohort_matrix(cohorts(s, d), USERS),
     "cohort_matrix_rate": lambda s, d: rt.cohort_matrix(cohorts(s, d), RATE, drop_week0=True),
-    "cohort_matrix_users_short": _segment_matrix(cohorts_visit, "short", USERS),
-    "cohort_matrix_rate_long": _segment_matrix(cohorts_visit, "long", RATE),
-    "cohort_matrix_users_holiday": _segment_matrix(cohorts_inflow, "holiday", USERS),
+    **{
+        f"cohort_matrix_{name}_{label}": _segment_matrix(make, label, value)
+        for make, labels in ((cohorts_visit, GROUPS), (cohorts_inflow, sg.INFLOW_LABELS))
+        for label in labels
+        for name, value in (("users", USERS), ("rate", RATE))
+    },
     "cohort_center_rate_median": _center(cohorts, RATE, "median"),
     "cohort_center_visit_rate_median": _center(cohorts_visit, RATE, "median"),
     "cohort_center_visit_rate_mean": _center(cohorts_visit, RATE, "mean"),
@@ -174,9 +177,12 @@ ORACLES = {
     "cohort_retention_inflow_week": with_ctes("SELECT * FROM coh_inflow", "coh_inflow"),
     "cohort_matrix_users": _matrix_sql("coh", USERS),
     "cohort_matrix_rate": _matrix_sql("coh", RATE, drop0=True),
-    "cohort_matrix_users_short": _matrix_sql("coh_visit", USERS, "user_segment = 'short'"),
-    "cohort_matrix_rate_long": _matrix_sql("coh_visit", RATE, "user_segment = 'long'", drop0=True),
-    "cohort_matrix_users_holiday": _matrix_sql("coh_inflow", USERS, "user_segment = 'holiday'"),
+    **{
+        f"cohort_matrix_{name}_{label}": _matrix_sql(source, value, f"user_segment = '{label}'", drop0=value == RATE)
+        for source, labels in (("coh_visit", GROUPS), ("coh_inflow", sg.INFLOW_LABELS))
+        for label in labels
+        for name, value in (("users", USERS), ("rate", RATE))
+    },
     "cohort_center_rate_median": _center_sql("coh", RATE, "median"),
     "cohort_center_visit_rate_median": _center_sql("coh_visit", RATE, "median"),
     "cohort_center_visit_rate_mean": _center_sql("coh_visit", RATE, "avg"),
