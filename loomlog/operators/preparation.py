@@ -123,11 +123,12 @@ def anonymous_devices(log: DataFrame) -> DataFrame:
 def analysis_target(log: DataFrame) -> DataFrame:
     """Drop anonymous-only devices.
 
-    The excluded list is the short side, so it is the one that may be hashed
-    or broadcast; a device with very many rows is split by the adaptive skew
-    join, which supports the left side of an anti join.
+    A device with very many rows is split by the adaptive skew join. That
+    needs a shuffle of its own right below each side of the join, but the
+    list would come straight from its aggregation by the same key; the
+    rebalance hint on this short side breaks that shortcut.
     """
-    return log.join(anonymous_devices(log), USER, "left_anti")
+    return log.join(anonymous_devices(log).hint("rebalance"), USER, "left_anti")
 
 
 def uncovered_devices(log: DataFrame, *sets: DataFrame) -> DataFrame:
