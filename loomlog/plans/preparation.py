@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomlog.operators import preparation as prep
 from loomlog.plans.oracle import with_ctes
 from loomlog.sources import adapters
-from loomlog.sources.tables import read_table, shared_dir, write_table
+from loomlog.sources.tables import read_table, table_path, write_table
 
 _LOG_COLUMNS = (
     "event_datetime", "event_date", "event_time", "event_week", "event_dow", "user_pseudo_id", "user_id",
@@ -27,7 +27,7 @@ def _enrich(spark, d):
 def _written(spark, d):
     """Rows per date directory of a freshly written target table."""
     target = adapters.events_target(spark, d)
-    path = f"{shared_dir(spark)}/target-copy"
+    path = table_path(spark, "target-copy", d)
     write_table(target, path)
     return read_table(spark, path, target.schema).groupBy("event_date").agg(F.count("*").alias("records"))
 

@@ -43,7 +43,7 @@ def write_table(df: DataFrame, target: str, partition: str | None = "event_date"
 
 
 _LOCAL_ROOTS: dict[str, str] = {}
-_STORED: dict[tuple[str, str], StructType] = {}
+_STORED: dict[str, StructType] = {}
 _LOCK = threading.RLock()  # reentrant: one stored table may build on another
 
 
@@ -65,6 +65,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def table_path(spark: SparkSession, name: str, source: str) -> str:
+    """Place of a stored table made from the input folder ``source``."""
+    return f"{shared_dir(spark)}/{name}-{hashlib.sha1(source.encode()).hexdigest()[:12]}"
+
+
 def stored(
     spark: SparkSession,
     name: str,
@@ -76,15 +81,13 @@ def stored(
 
     Files in the shared folder outlive executors, unlike cached blocks.
     """
-    label = f"{name}-{hashlib.sha1(source.encode()).hexdigest()[:12]}"
-    key = (spark.sparkContext.applicationId, label)
-    path = f"{shared_dir(spark)}/{label}"
+    path = table_path(spark, name, source)  # names the application, too
     with _LOCK:
-        if key not in _STORED:
+        if path not in _STORED:
             df = build()
             write_table(df, path, partition)
-            _STORED[key] = df.schema
-    return read_table(spark, path, _STORED[key])
+            _STORED[path] = df.schema
+    return read_table(spark, path, _STORED[path])
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Run registered queries beside their SQL and compare whole results.
 
 Usage: python tests/checker.py [sf_dir] [name ...]
+CHECK_EXACT=1 compares doubles bit by bit instead of to 9 digits.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+EXACT = os.environ.get("CHECK_EXACT") == "1"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -51,7 +53,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return (0, "nan")
-        return (1, f"{value:.9g}" if value else "0")
+        return (1, repr(value) if EXACT else f"{value:.9g}" if value else "0")
     return (1, repr(value))
 
 
