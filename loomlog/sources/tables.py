@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable
@@ -42,27 +41,27 @@ def write_table(df: DataFrame, target: str, partition: str | None = "event_date"
         writer.format("parquet").saveAsTable(target)
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
 _STORED: dict[str, StructType] = {}
 _LOCK = threading.RLock()  # reentrant: one stored table may build on another
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for this application's stored tables.
-
-    A cluster names it in ``spark.checkpoint.dir``; only a local session may
-    fall back to a temporary folder of its own machine.
-    """
+    """Folder for this application's stored tables, on storage every executor reaches:
+    under ``spark.checkpoint.dir``, or under the session's warehouse where that is unset."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    app = context.applicationId
-    if root:
-        return f"{root.rstrip('/')}/loomlog-{app}"
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="loomlog-")
-    return _LOCAL_ROOTS[app]
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/loomlog-{context.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove every table this application has stored."""
+    folder = shared_dir(spark)
+    with _LOCK:
+        for path in [p for p in _STORED if p.startswith(folder)]:
+            del _STORED[path]
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table_path(spark: SparkSession, name: str, source: str) -> str:

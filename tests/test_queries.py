@@ -4,9 +4,10 @@ import pytest
 from checker import compare, make_duckdb
 
 import __spark_entry__ as entry
+from loomlog.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
