@@ -89,10 +89,15 @@ def stored(
     return read_table(spark, path, _STORED[path])
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder of this application that nothing has used yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that values which
     depend on how rows were partitioned become plain data."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "cut")
     write_table(df, path, None)
     return read_table(spark, path, df.schema)
