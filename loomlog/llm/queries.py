@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.exact_dups import exact_groups
 from loomlog.llm.mixing import mix, word_count
+from loomlog.llm.near_dups import near_groups
 from loomlog.llm.perspectives import perspective_dialogues
 from loomlog.llm.sharding import shuffle_into_shards
-from loomlog.sources.tables import read_table
+from loomlog.llm.token_files import read_documents, write_token_files
+from loomlog.sources.tables import fresh_path, read_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,24 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(rows).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def token_documents(docs: DataFrame) -> DataFrame:
+    """Files of the 50k byte-level vocabulary, written and read back."""
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    path = fresh_path(spark, "tokens")
+    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257)
+    return read_documents(spark, path).withColumnRenamed("id", "doc_id")
+
+
+def op3_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_documents(_table(spark, sf_dir, "documents"))
+
+
+def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"), size=4)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -46,7 +66,9 @@ def op10_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_packed_token_ids": op3_packed_token_ids,
     "op4_source_mix": op4_source_mix,
+    "op7_near_copies": op7_near_copies,
     "op10_exact_copies": op10_exact_copies,
 }
 
