@@ -30,11 +30,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     clean = docs.select(F.col(key).alias("id"), normalised(text).alias("norm"))
     hashed = clean.select("id", "norm", F.md5("norm").alias("hash"), F.sha2("norm", 256).alias("sha"))
     counts = cut_lineage(hashed.select("id", "hash", "sha"))
-    repeated = counts.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("hash")
+    # written: a join with plain tables on both sides can be dealt out anew, so a hot group is split
+    repeated = cut_lineage(counts.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("hash"))
     single = counts.join(repeated, "hash", "left_anti").select(
         "id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha"
     )
-    # written: later joins each deal these rows out anew, so a hot group can be split
     members = numbered(hashed.join(repeated, "hash", "left_semi"))
     clash = members.groupBy("hash").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     clash = cut_lineage(clash.filter("low <> high").select("hash"))
