@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.llm.decontamination import contaminations
 from loomlog.llm.exact_dups import exact_groups
+from loomlog.llm.importance import resample
 from loomlog.llm.mixing import mix, word_count
 from loomlog.llm.near_dups import near_groups
 from loomlog.llm.perspectives import perspective_dialogues
@@ -50,6 +52,18 @@ def op3_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = resample(docs, _table(spark, sf_dir, "labels"), carried=["doc_id"])
+    return rows.select(
+        "doc_id", F.col("_n_grams").alias("n_grams"), F.col("_log_weight").alias("log_weight"),
+        F.col("_key").alias("sample_key"), F.col("_kept").alias("kept"))
+
+
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), size=4)
 
@@ -68,7 +82,9 @@ QUERIES = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_packed_token_ids": op3_packed_token_ids,
     "op4_source_mix": op4_source_mix,
+    "op5_importance_resampling": op5_importance_resampling,
     "op7_near_copies": op7_near_copies,
+    "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_exact_copies": op10_exact_copies,
 }
 
