@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomlog.llm.decontamination import contaminations
 from loomlog.llm.exact_dups import exact_groups
 from loomlog.llm.importance import resample
+from loomlog.llm.language import identify
 from loomlog.llm.mixing import mix, word_count
 from loomlog.llm.near_dups import near_groups
 from loomlog.llm.perspectives import perspective_dialogues
@@ -60,6 +61,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_key").alias("sample_key"), F.col("_kept").alias("kept"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op3_packed_token_ids": op3_packed_token_ids,
     "op4_source_mix": op4_source_mix,
     "op5_importance_resampling": op5_importance_resampling,
+    "op6_language": op6_language,
     "op7_near_copies": op7_near_copies,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_exact_copies": op10_exact_copies,
