@@ -39,7 +39,8 @@ def ngram_bins(texts: pa.Array, bins: int = BINS) -> tuple[np.ndarray, np.ndarra
     stream = codes[np.repeat(begins[at] - ends[:-1], taken) + np.arange(ends[-1])]
     edges = ends[offsets]  # of texts, in tokens
     pair = mix(np.concatenate([stream[:1], stream[:-1]]) ^ mix(stream, 1), 2)
-    again = np.concatenate([[False], stream[1:] == stream[:-1]])
+    again = np.zeros(len(stream), bool)
+    again[1:] = stream[1:] == stream[:-1]
     pair[again] = np.uint64(REPEAT)
     opens = np.zeros(len(stream), bool)
     opens[edges[:-1][np.diff(edges) > 0]] = True
@@ -82,10 +83,10 @@ def fit_ratio(docs: DataFrame, chosen: np.ndarray, key: str = "doc_id", text: st
     return ratio
 
 
-def _scorer(ratio: np.ndarray, carried: list[str]):
+def _scorer(ratio: np.ndarray, carried: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            offsets, grams = ngram_bins(batch.column("_text"), len(ratio))
+        for batch in slices(batches, text):
+            offsets, grams = ngram_bins(batch.column(text), len(ratio))
             sums = np.concatenate([[0.0], np.cumsum(ratio[grams], dtype=np.float64)])
             weight = (sums[offsets[1:]] - sums[offsets[:-1]]) * (LENGTH / np.maximum(LENGTH, np.diff(offsets)))
             columns = [*(batch.column(c) for c in carried), pa.array(np.diff(offsets)), pa.array(weight)]
@@ -119,7 +120,7 @@ def resample(
         *(docs.schema[c] for c in carried), T.StructField("_n_grams", T.LongType()), T.StructField("_log_weight", T.DoubleType()),
     ])
     noise = -F.log(-F.log(uniform(seed, key, "_n_grams") + 2.0**-54))
-    scored = docs.select(*carried, F.col(text).cast("string").alias("_text")).mapInArrow(_scorer(ratio, carried), schema)
+    scored = docs.select(*dict.fromkeys([*carried, text])).mapInArrow(_scorer(ratio, carried, text), schema)
     rows = numbered(scored.withColumn("_key", F.when(F.col("_n_grams") > 0, F.col("_log_weight") + noise)))
     k = rows.filter((F.col("_n_grams") > 0) & (F.col("_log_weight") > -margin)).count()
     keys = rows.filter("_key is not null").select("_key", "_row", F.lit(1).cast("long").alias("_one"))

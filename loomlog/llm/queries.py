@@ -9,6 +9,7 @@ from loomlog.llm.decontamination import contaminations
 from loomlog.llm.exact_dups import exact_groups
 from loomlog.llm.importance import resample
 from loomlog.llm.language import identify
+from loomlog.llm.masked_lm import score_documents
 from loomlog.llm.mixing import mix, word_count
 from loomlog.llm.near_dups import near_groups
 from loomlog.llm.perspectives import perspective_dialogues
@@ -45,7 +46,7 @@ def token_documents(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
-    write_token_files(docs, path, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257)
+    write_token_files(docs.select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257)
     return read_documents(spark, path).withColumnRenamed("id", "doc_id")
 
 
@@ -65,6 +66,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op8_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op5_importance_resampling": op5_importance_resampling,
     "op6_language": op6_language,
     "op7_near_copies": op7_near_copies,
+    "op8_masked_likelihood": op8_masked_likelihood,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_exact_copies": op10_exact_copies,
 }
