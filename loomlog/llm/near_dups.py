@@ -15,6 +15,7 @@ from loomlog.llm.words import hash_dictionary, mix, shingle_hashes, slices, spli
 from loomlog.sources.tables import cut_lineage
 
 BINS, ROWS = 128, 4  # 32 bands of 4 rows: a pair at similarity 0.8 misses all with probability 5e-8
+STARS = (1, 2, 2)  # centres per bucket and turn
 SIEVE_BITS = 22
 
 
@@ -121,28 +122,25 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     the edges between what they point to go into the next turn, until none is
     left. All of it stays in tables; a turn at least halves what is left.
     """
-    roots, left = None, edges
-    while True:
+    turns, left = [], edges
+    while turns == [] or not left.isEmpty():
         both = left.select("a", "b").union(left.select("b", "a")).filter("a <> b")
         least = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select(
             "node", F.least("node", "up").alias("up")))
-        if least.isEmpty():
-            return roots if roots is not None else least.withColumnRenamed("up", "root")
         jumped = least
         for _ in range(2):
             over = jumped.select(F.col("node").alias("n"), F.col("up").alias("u"))
             jumped = jumped.join(over, F.col("up") == F.col("n")).select("node", F.col("u").alias("up"))
-        jumped = cut_lineage(jumped)
-        if roots is None:
-            roots = jumped.withColumnRenamed("up", "root")
-        else:
-            over = jumped.withColumnRenamed("node", "root")
-            roots = roots.join(over, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        roots = cut_lineage(roots)
-        a = jumped.select(F.col("node").alias("a"), F.col("up").alias("ua"))
-        b = jumped.select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        turns.append(cut_lineage(jumped))
+        a = turns[-1].select(F.col("node").alias("a"), F.col("up").alias("ua"))
+        b = turns[-1].select(F.col("node").alias("b"), F.col("up").alias("ub"))
         left = cut_lineage(left.join(a, "a").join(b, "b").filter("ua <> ub").select(
             F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
+    roots = turns[0].withColumnRenamed("up", "root")
+    for later in turns[1:]:
+        over = later.withColumnRenamed("node", "root")
+        roots = roots.join(over, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return cut_lineage(roots)
 
 
 def _similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -154,31 +152,33 @@ def _similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(both * 100 >= union * percent).select("a", "b")
 
 
-def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of the confirmed links among the members (key, node) of the buckets.
+def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) of the confirmed links among the members (key, node, degree) of the buckets.
 
-    Each turn picks centres in every bucket that still holds nodes of different
-    components and tests all nodes of other components against them, a star per
-    centre. Centres then leave the bucket, since they have been compared with all
-    of it; linked nodes need no more tests among each other. The first turn has
-    one centre per bucket, the same for all buckets where it can be; later turns
-    have twice as many as the one before. It ends when every pair of a bucket is
-    in one component or has been compared, so no link between two members is lost.
+    Each turn takes centres in every bucket that still holds nodes of different
+    components and tests the nodes of other components against them, a star per
+    centre, so a turn makes no more pairs than ``STARS`` per place in a bucket.
+    The first centre is the node that shares buckets with most others: of copies
+    that each differ from a common text in their own way it is the closest to
+    that text, and what it does not reach, no other does. Later turns take other
+    centres, a different choice in every bucket a pair shares. Linked nodes and
+    former centres need no more tests in a bucket.
     """
-    roots, turn, tested = None, 0, None
-    left = members
-    while True:
+    roots, tested, left = None, None, members
+    for turn, stars in enumerate(STARS):
         if roots is None:
             placed = left.withColumn("root", F.col("node"))
         else:
             placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        salt = F.xxhash64("node") if turn == 0 else F.xxhash64("node", "key", F.lit(turn))
-        placed = placed.withColumn("_o", salt).withColumn("_p", F.pmod(F.col("_o"), F.lit(1 << turn)))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        open_ = cut_lineage(placed.join(mixed.select("key"), "key", "left_semi"))
-        if open_.isEmpty():
-            return roots
-        centres = open_.groupBy("key", "_p").agg(F.min(F.struct("_o", "node", "root")).alias("c")).select(
+        mixed = cut_lineage(mixed.select("key"))
+        if mixed.isEmpty():
+            break
+        chance = F.xxhash64("node", "key", F.lit(turn))
+        first = -F.col("degree") if turn == 0 else chance
+        open_ = cut_lineage(placed.join(mixed.hint("merge"), "key", "left_semi"))
+        centres = open_.groupBy("key", F.pmod(chance, F.lit(stars)).alias("_p")).agg(
+            F.min(F.struct(first.alias("o"), F.xxhash64("node").alias("h"), "node", "root")).alias("c")).select(
             "key", F.col("c.node").alias("cn"), F.col("c.root").alias("cr"))
         met = open_.join(centres, "key").filter("root <> cr").select(
             F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct()
@@ -187,20 +187,25 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         met = cut_lineage(met)
         links = cut_lineage(_similar(sets, met, percent))
         tested = met if tested is None else tested.union(met)
-        if roots is None:
-            roots = smallest_reachable(links)
-        else:
-            a, b = (roots.select(F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab")
-            hops = links.join(a, "a", "left").join(b, "b", "left").select(
-                F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
-            over = smallest_reachable(cut_lineage(hops)).select(F.col("node").alias("old"), F.col("root").alias("new"))
-            known = roots.join(over, F.col("root") == F.col("old"), "left").select(
-                "node", F.coalesce("new", "root").alias("root"))
-            extra = over.join(roots, over["old"] == roots["node"], "left_anti").select(
-                F.col("old").alias("node"), F.col("new").alias("root"))
-            roots = cut_lineage(known.union(extra))
-        left = open_.join(centres.select("key", F.col("cn").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        turn += 1
+        if not links.isEmpty():
+            roots = _joined(roots, links)
+        gone = centres.select("key", F.col("cn").alias("node"))
+        left = open_.join(gone, ["key", "node"], "left_anti").select("key", "node", "degree")
+    return roots
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots after further links (a, b) between nodes."""
+    if roots is None:
+        return smallest_reachable(links)
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab")
+    hops = links.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
+    over = smallest_reachable(cut_lineage(hops)).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    known = roots.join(over, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+    extra = over.join(roots, over["old"] == roots["node"], "left_anti").select(
+        F.col("old").alias("node"), F.col("new").alias("root"))
+    return cut_lineage(known.union(extra))
 
 
 def near_groups(
@@ -225,8 +230,9 @@ def near_groups(
     nodes = cut_lineage(full.groupBy(*marks).agg(
         F.min("_row").alias("node"), F.min("id").alias("low"), F.first("bands").alias("bands")))
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    members = cut_lineage(buckets.join(shared, "key", "left_semi"))
+    shared = cut_lineage(buckets.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    met = cut_lineage(buckets.join(shared.hint("merge"), "key"))  # plain tables: a hot bucket can be split
+    members = cut_lineage(met.join(met.groupBy("node").agg(F.sum("m").alias("degree")), "node").select("key", "node", "degree"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(*marks, "node")
     wanted = cut_lineage(wanted)
     again = sieve(_described(rows, size, True), wanted, "c1")
