@@ -30,8 +30,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     clean = docs.select(F.col(key).alias("id"), normalised(text).alias("norm"))
     hashed = clean.select("id", "norm", F.md5("norm").alias("hash"), F.sha2("norm", 256).alias("sha"))
     counts = cut_lineage(hashed.select("id", "hash", "sha"))
-    # written: a join with plain tables on both sides can be dealt out anew, so a hot group is split
+    # written and merged: a join of plain tables is dealt out anew at every size, so a hot group is split
     repeated = cut_lineage(counts.groupBy("hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("hash"))
+    repeated = repeated.hint("merge")
     single = counts.join(repeated, "hash", "left_anti").select(
         "id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha"
     )
