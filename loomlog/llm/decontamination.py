@@ -147,13 +147,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
 
     near = F.filter(F.sequence(F.lit(0), F.lit(65535)), lambda m: F.bit_count(m) <= BLOCK_RADIUS)
     entered = blocks(listed).withColumn("flips", F.explode(near)).withColumn("value", F.col("value").bitwiseXOR(F.col("flips")))
-    entered = entered.select("words", "block", "value", "item", F.col("print").alias("item_print"), F.col("shingles").alias("item_shingles"))
+    entered = entered.select("words", "block", "value", "item", F.col("print").alias("item_print"))
+    grams = listed.select("item", F.col("shingles").alias("item_shingles"))
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     common = F.size(F.array_intersect("shingles", "item_shingles"))
     union = F.size("shingles") + F.size("item_shingles") - common
-    met = blocks(windows).join(entered, ["words", "block", "value"]).withColumn("distance", distance).filter(
+    # an item is entered under thousands of values, more than its file's size tells: not to be broadcast
+    met = blocks(windows).join(entered.hint("merge"), ["words", "block", "value"]).withColumn("distance", distance).filter(
         F.col("distance") <= RADIUS)
-    found = met.withColumn("common", common).withColumn("union", union).filter(
+    found = met.join(grams, "item").withColumn("common", common).withColumn("union", union).filter(
         F.col("common") * 100 >= F.col("union") * PERCENT)
     best = F.min(F.struct((-F.col("common") / F.col("union")).alias("s"), "start", "distance"))
     return found.groupBy("id", "item").agg(F.first("words").alias("words"), best.alias("b")).select(
