@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlog.functions import tails
+from loomlog.functions.tails import chi2_sf, normal_two_sided, rank_sum_exact, t_two_sided
+
+# a worker gets the functions with the job and needs no copy of the package
+cloudpickle.register_pickle_by_value(tails)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _present(*values) -> bool:
@@ -16,13 +24,13 @@ def _present(*values) -> bool:
 @F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p."""
-    return z.map(lambda v: tails.normal_two_sided(v) if _present(v) else None)
+    return z.map(lambda v: normal_two_sided(v) if _present(v) else None)
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(
-        [tails.chi2_sf(x, int(k)) if _present(x, k) else None for x, k in zip(stat, dof)],
+        [chi2_sf(x, int(k)) if _present(x, k) else None for x, k in zip(stat, dof)],
         dtype="float64",
     )
 
@@ -37,21 +45,18 @@ def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
         if abs(rho) >= 1.0:
             return 0.0
         t = rho * ((pairs - 2) / (1.0 - rho * rho)) ** 0.5
-        return tails.t_two_sided(t, pairs - 2)
+        return t_two_sided(t, pairs - 2)
 
     return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
-def mann_whitney_p(u: pd.Series, z: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
-    """Exact p for a small untied sample (min n <= 8), else the normal one."""
+def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
+    """Exact two-sided p of a rank sum; NULL where values tie."""
 
-    def one(stat, score, a, b, tied):
-        if not _present(stat, score):
+    def one(stat, a, b, tied):
+        if not _present(stat, tied) or tied > 0 or min(a, b) < 1:
             return None
-        if min(a, b) <= 8 and tied == 0:
-            return tails.rank_sum_exact(stat, int(a), int(b))
-        # a corrected score below zero means the two-sided p reaches 1
-        return 1.0 if score <= 0 else tails.normal_two_sided(score)
+        return rank_sum_exact(stat, int(a), int(b))
 
-    return pd.Series([one(*row) for row in zip(u, z, n1, n2, ties)], dtype="float64")
+    return pd.Series([one(*row) for row in zip(u, n1, n2, ties)], dtype="float64")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomlog.functions.columns import (
     DAY,
@@ -117,18 +118,17 @@ def interval_histogram(intervals: DataFrame, value: str = "day_diff", bins: int
     """Counts in equally wide bins from minimum to maximum, empty bins included.
 
     Bins are closed on the left, the last one on both sides. Whole numbers are
-    binned with integer arithmetic, so edges are exact.
+    binned with integer arithmetic, so edges are exact; others as doubles.
     """
-    counts = intervals.groupBy(value).agg(F.count("*").alias("n"))
-    span = Window.partitionBy()  # over distinct gaps, limited by the calendar
-    placed = counts.select(
-        F.col(value).cast("bigint").alias("x"),
-        "n",
-        F.min(value).over(span).cast("bigint").alias("lo"),
-        F.max(value).over(span).cast("bigint").alias("hi"),
-    )
+    whole = isinstance(intervals.schema[value].dataType, T.IntegralType)
+    kind = "bigint" if whole else "double"
+    counts = intervals.where(F.col(value).isNotNull()).groupBy(F.col(value).cast(kind).alias("x")).agg(
+        F.count("*").alias("n"))
+    span = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))  # one row
+    placed = counts.crossJoin(F.broadcast(span))
+    place = f"(x - lo) * {bins} div (hi - lo)" if whole else f"floor((x - lo) / (hi - lo) * {bins})"
     bin_no = F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2)).otherwise(
-        F.least(F.expr(f"(x - lo) * {bins} div (hi - lo)"), F.lit(bins - 1))
+        F.least(F.expr(place), F.lit(bins - 1))
     )
     filled = placed.groupBy(bin_no.cast("int").alias("bin"), "lo", "hi").agg(F.sum("n").alias("cnt"))
     # one row: the count of every bin, zero where the map has no entry

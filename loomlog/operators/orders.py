@@ -98,7 +98,7 @@ def holidays(log: DataFrame, threshold: float = 30, buyer: str = "user_id") -> D
 def order_segments(log: DataFrame, hol: DataFrame) -> DataFrame:
     """Visit days, order days, and order days outside and inside holidays."""
     days = log.groupBy(USER, DAY).agg(F.bool_or(is_order()).alias("ordered"))
-    flag = hol.select(F.col("holiday_date").alias(DAY), F.lit(True).alias("holiday"))
+    flag = hol.select(F.col("holiday_date").alias(DAY), F.lit(True).alias("holiday")).distinct()
     marked = days.join(broadcast_days(flag), DAY, "left")
     per_user = marked.groupBy(USER).agg(
         F.count("*").alias("visit_day_cnt"),

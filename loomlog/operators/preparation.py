@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.columns import DAY, USER, clock_time, iso_dow, local_datetime, week_start
+from loomlog.sources.tables import cut_lineage
 
 DEFAULT_TZ = "Asia/Seoul"
 _ATTRIBUTES = ("event_datetime", USER, "user_id", "event_name")
@@ -65,7 +66,8 @@ def pivot_params(raw: DataFrame, keys: Sequence[str] | None = None, tz: str = DE
     into the shuffle however many parameters it has. Only an event that
     repeats a key becomes one row per parameter; the grouping, which has to
     merge events with equal attributes anyway, then keeps the largest value
-    per key. Events without parameters drop out, as in an inner unnest.
+    per key. Events without parameters drop out, as in an inner unnest. Given
+    ``keys`` select the columns; other parameters are left out.
     """
     keys = param_keys(raw) if keys is None else sorted(keys)
     events = raw.where(F.size("event_params") > 0).select(
@@ -79,7 +81,8 @@ def pivot_params(raw: DataFrame, keys: Sequence[str] | None = None, tz: str = DE
         *_ATTRIBUTES, *[_value_of(k).alias(k) for k in keys]
     )
     if keys:
-        merged = flat.groupBy(*_ATTRIBUTES).agg(*[F.max(F.col(f"`{k}`")).alias(k) for k in keys])
+        # dealt out before the grouping: text maxima sort, and one sort is enough
+        merged = flat.repartition(*_ATTRIBUTES).groupBy(*_ATTRIBUTES).agg(*[F.max(F.col(f"`{k}`")).alias(k) for k in keys])
     else:
         merged = flat.distinct()
     return merged.select(
@@ -123,12 +126,13 @@ def anonymous_devices(log: DataFrame) -> DataFrame:
 def analysis_target(log: DataFrame) -> DataFrame:
     """Drop anonymous-only devices.
 
-    A device with very many rows is split by the adaptive skew join. That
-    needs a shuffle of its own right below each side of the join, but the
-    list would come straight from its aggregation by the same key; the
-    rebalance hint on this short side breaks that shortcut.
+    The list of those devices is written first, one column. Its size is known
+    when the join is planned: a short list is sent to the log and the log stays
+    where it is, a long one is merged with it, and a device with very many rows
+    is then split by the adaptive skew join.
     """
-    return log.join(anonymous_devices(log).hint("rebalance"), USER, "left_anti")
+    guests = cut_lineage(anonymous_devices(log))
+    return log.join(guests, USER, "left_anti")
 
 
 def uncovered_devices(log: DataFrame, *sets: DataFrame) -> DataFrame:

@@ -11,66 +11,60 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomlog.sources.tables import cut_lineage
-
 
 def value_histogram(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rows per value and keys; NULL values take no rank."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
-def rank_histogram(hist: DataFrame, value: str, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+def _piece(hist: DataFrame, value: str) -> DataFrame:
+    """``hist`` with the number of the range its value falls in.
+
+    The borders are plain data, one row of quantiles of the distinct values, so the
+    pieces are the same each time the plan runs; equal values share a piece.
+    """
+    count = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if count < 2:
+        return hist.withColumn("piece", F.lit(0))
+    number = F.col(value).cast("double")
+    borders = hist.agg(F.percentile_approx(number, [i / count for i in range(1, count)], 10_000).alias("borders"))
+    piece = F.size(F.filter("borders", lambda b: b < number))
+    return hist.crossJoin(F.broadcast(borders)).withColumn("piece", piece).drop("borders")  # one row
+
+
+def rank_histogram(hist: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Add to each histogram row: ``total`` rows, ``ties`` sharing the value,
     and the average ranks ``rank_asc`` and ``rank_desc``.
 
     ``by`` holds keys that are ranked separately. Other columns of ``hist``
-    (a group) share the ranking.
-
-    ``bounded=True`` is for values that are known to be few: counts of events
-    per user (D different counts need at least D(D-1)/2 events) and measures
-    per calendar week. Otherwise the values are range partitioned, running
-    totals are taken inside each partition, and the totals of the partitions
-    before it are added.
+    (a group) share the ranking. Running totals are taken inside ranges of values,
+    and the totals of the ranges before are added, so no task sees all values.
     """
     by = list(by)
-    if bounded:
-        ties = F.sum("n").over(Window.partitionBy(*by, value))
-        upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))
-        total = F.sum("n").over(Window.partitionBy(*by))
-        counted = hist.select("*", upto.alias("upto"), total.alias("total"), ties.alias("ties"))
-    else:
-        # The partition number has to be stored: planning the range partitioning
-        # twice could draw the borders differently.
-        placed = cut_lineage(
-            hist.repartitionByRange(*by, value).withColumn("part", F.spark_partition_id())
-        )
-        sums = placed.groupBy(*by, "part").agg(F.sum("n").alias("part_n"))
-        before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sums.select(
-            *by, "part",
-            F.coalesce(F.sum("part_n").over(before), F.lit(0)).alias("before"),
-            F.sum("part_n").over(Window.partitionBy(*by)).alias("total"),
-        )
-        # equal values share a range, so both windows work on the same layout
-        local = placed.withColumns({
-            "local": F.sum("n").over(Window.partitionBy(*by, "part").orderBy(value)),
-            "ties": F.sum("n").over(Window.partitionBy(*by, "part", value)),
-        })
-        # one row per shuffle partition and ``by`` key: bounded by the settings
-        counted = (
-            local.join(F.broadcast(offsets), [*by, "part"])
-            .withColumn("upto", F.col("local") + F.col("before"))
-            .drop("local", "before", "part")
-        )
+    placed = _piece(hist, value)
+    sums = placed.groupBy(*by, "piece").agg(F.sum("n").alias("piece_n"))
+    before = Window.partitionBy(*by).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *by, "piece",
+        F.coalesce(F.sum("piece_n").over(before), F.lit(0)).alias("before"),
+        F.sum("piece_n").over(Window.partitionBy(*by)).alias("total"),
+    )
+    # equal values share a range, so both windows work on the same layout
+    local = placed.withColumns({
+        "local": F.sum("n").over(Window.partitionBy(*by, "piece").orderBy(value)),
+        "ties": F.sum("n").over(Window.partitionBy(*by, "piece", value)),
+    })
+    upto = F.col("local") + F.col("before")
     return (
-        counted.withColumn("rank_asc", F.col("upto") - (F.col("ties") - 1) / 2)
-        .withColumn("rank_desc", F.col("total") - F.col("upto") + (F.col("ties") + 1) / 2)
-        .drop("upto")
+        local.join(offsets, [*by, "piece"])
+        .withColumn("rank_asc", upto - (F.col("ties") - 1) / 2)
+        .withColumn("rank_desc", F.col("total") - upto + (F.col("ties") + 1) / 2)
+        .drop("local", "before", "piece")
     )
 
 
 def avg_ranks(
-    df: DataFrame, value: str, desc: bool = True, by: Sequence[str] = (), bounded: bool = False, name: str = "avg_rank"
+    df: DataFrame, value: str, desc: bool = True, by: Sequence[str] = (), name: str = "avg_rank"
 ) -> DataFrame:
     """Add each row's average rank (ties share the mean of their places).
 
@@ -78,24 +72,24 @@ def avg_ranks(
     by a large part of the rows is split by the adaptive skew join.
     """
     by = list(by)
-    ranks = rank_histogram(value_histogram(df, value, by), value, by, bounded)
+    ranks = rank_histogram(value_histogram(df, value, by), value, by)
     ranks = ranks.select(*by, value, F.col("rank_desc" if desc else "rank_asc").alias(name))
     return df.join(ranks, [*by, value], "left").select(*df.columns, name)
 
 
 def mean_ranks(
-    df: DataFrame, group: str, value: str, desc: bool = True, bounded: bool = False
+    df: DataFrame, group: str, value: str, desc: bool = True
 ) -> DataFrame:
     """Mean of the shared average ranks within each group."""
     rank = F.col("rank_desc" if desc else "rank_asc")
-    ranks = rank_histogram(value_histogram(df, value, [group]), value, (), bounded)
+    ranks = rank_histogram(value_histogram(df, value, [group]), value)
     return ranks.groupBy(group).agg(
         F.sum("n").alias("n"), (F.sum(rank * F.col("n")) / F.sum("n")).alias("mean_rank")
     )
 
 
 def rank_sums(
-    hist: DataFrame, group: str, value: str, by: Sequence[str] = (), bounded: bool = False
+    hist: DataFrame, group: str, value: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Per group: size, size of all groups, ascending rank sum, share of sum(t^3 - t).
 
@@ -103,7 +97,7 @@ def rank_sums(
     A tie class of t rows adds (t^2 - 1) for each of its rows; doubles, because
     t^3 leaves the 64-bit range at 2 million.
     """
-    ranks = rank_histogram(hist, value, by, bounded)
+    ranks = rank_histogram(hist, value, by)
     t = F.col("ties").cast("double")
     return ranks.groupBy(*by, group).agg(
         F.sum("n").alias("n"),

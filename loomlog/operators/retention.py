@@ -68,20 +68,27 @@ def cohort_retention(log: DataFrame, seg: DataFrame | None = None) -> DataFrame:
     )
 
 
-def cohort_matrix(
-    cohorts: DataFrame, value: str, drop_week0: bool = False, weeks: Sequence[int] | None = None
-) -> DataFrame:
-    """Cohort rows, one column per week difference, NULL where a cell is absent.
+def cohort_matrix(cohorts: DataFrame, value: str, drop_week0: bool = False) -> DataFrame:
+    """One row per cohort (and segment, if there is one), one column per week
+    difference in the data, NULL where a cell is absent.
 
-    The week differences become column names. If they are not given they are
-    looked up first; there are at most as many as the log has weeks.
+    The week differences become column names, so they are looked up first; there
+    are at most as many as the log has weeks.
     """
-    if weeks is None:
-        cohorts = cut_lineage(cohorts)  # a small table; without this the log would be read twice
-        weeks = sorted(r[0] for r in cohorts.select("week_diff").distinct().collect())
+    cohorts = cut_lineage(cohorts)  # a small table; without this the log would be read twice
+    weeks = sorted(r[0] for r in cohorts.select("week_diff").distinct().collect())
     if drop_week0:
         weeks = [w for w in weeks if w != 0]
-    return cohorts.groupBy("cohort_week").pivot("week_diff", list(weeks)).agg(F.avg(F.col(value).cast("double")))
+    keys = [c for c in ("user_segment", "cohort_week") if c in cohorts.columns]
+    return cohorts.groupBy(*keys).pivot("week_diff", weeks).agg(F.avg(F.col(value).cast("double")))
+
+
+def matrix_cells(matrix: DataFrame) -> DataFrame:
+    """Long form of a cohort matrix: a row for every cell, absent ones included."""
+    keys = [c for c in ("user_segment", "cohort_week") if c in matrix.columns]
+    weeks = [c for c in matrix.columns if c not in keys]
+    cells = matrix.unpivot(keys, weeks, "week_diff", "value")
+    return cells.withColumn("week_diff", F.col("week_diff").cast("bigint"))
 
 
 def cohort_center(cohorts: DataFrame, value: str, how: str = "median") -> DataFrame:

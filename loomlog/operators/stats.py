@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.columns import fraction
-from loomlog.functions.pvalues import chi2_p, correlation_p, mann_whitney_p, normal_p
+from loomlog.functions.pvalues import chi2_p, correlation_p, rank_sum_p, normal_p
 from loomlog.operators.ranks import avg_ranks, rank_sums, value_histogram
 
 ALPHA = 0.05
@@ -45,15 +45,18 @@ def _correct(df: DataFrame, pairs: int) -> DataFrame:
 # ------------------------------------------------------------ rank tests
 
 def mann_whitney(
-    df: DataFrame, first: str, second: str, value: str, group: str = SEGMENT, bounded: bool = False
+    df: DataFrame, first: str, second: str, value: str, group: str = SEGMENT, method: str = "asymptotic"
 ) -> DataFrame:
     """Two-sided Mann-Whitney U of two groups, with the rank-biserial correlation.
 
-    ``u`` belongs to ``first``. Normal approximation with tie and continuity
-    correction, or the exact distribution for min(n) <= 8 without ties.
+    ``u`` belongs to ``first``. ``method`` is "asymptotic", the normal approximation
+    with tie and continuity correction, or "exact", the distribution of U itself,
+    which has no p-value where values tie.
     """
+    if method not in ("asymptotic", "exact"):
+        raise ValueError(f"method must be 'asymptotic' or 'exact', got {method!r}")
     sample = df.where(F.col(group).isin(first, second))
-    sums = rank_sums(value_histogram(sample, value, [group]), group, value, (), bounded)
+    sums = rank_sums(value_histogram(sample, value, [group]), group, value)
 
     def of(label, column):
         return F.max(F.when(F.col(group) == label, F.col(column)))
@@ -72,15 +75,19 @@ def mann_whitney(
             F.sqrt(F.when(variance > 0, variance)),
         ),
     )
+    if method == "exact":
+        p_value = rank_sum_p("u", "n1", "n2", "tie_sum")
+    else:  # a corrected score below zero means the two-sided p reaches 1
+        p_value = F.when(F.col("z") <= 0, 1.0).otherwise(normal_p("z"))
     return with_u.select(
         "n1", "n2", "u", "z",
-        mann_whitney_p("u", "z", "n1", "n2", "tie_sum").alias("p_value"),
+        p_value.alias("p_value"),
         (F.try_divide(2 * F.col("u"), n1 * n2) - 1).alias("rank_biserial"),
     )
 
 
-def _kruskal(hist: DataFrame, group: str, value: str, by: Sequence[str], bounded: bool) -> DataFrame:
-    sums = rank_sums(hist, group, value, by, bounded)
+def _kruskal(hist: DataFrame, group: str, value: str, by: Sequence[str]) -> DataFrame:
+    sums = rank_sums(hist, group, value, by)
     n = F.col("n_total").cast("double")
     # squared distances from the mean rank: no difference of two huge numbers
     off = F.col("rank_sum") / F.col("n") - (F.col("total") + 1) / 2
@@ -101,28 +108,28 @@ def _kruskal(hist: DataFrame, group: str, value: str, by: Sequence[str], bounded
 
 
 def kruskal(
-    df: DataFrame, value: str, groups: Sequence[str] | None = None, group: str = SEGMENT, bounded: bool = False
+    df: DataFrame, value: str, groups: Sequence[str] | None = None, group: str = SEGMENT
 ) -> DataFrame:
     """Kruskal-Wallis H with tie correction."""
     sample = df if groups is None else df.where(F.col(group).isin(*groups))
-    return _kruskal(value_histogram(sample, value, [group]), group, value, (), bounded)
+    return _kruskal(value_histogram(sample, value, [group]), group, value, ())
 
 
 def kruskal_pairs(
-    df: DataFrame, value: str, groups: Sequence[str], group: str = SEGMENT, bounded: bool = False
+    df: DataFrame, value: str, groups: Sequence[str], group: str = SEGMENT
 ) -> DataFrame:
     """Kruskal-Wallis for each pair of groups, ranked within the pair."""
     hist = value_histogram(df.where(F.col(group).isin(*groups)), value, [group])
-    result = _kruskal(_to_pairs(hist, group, groups), group, value, _PAIR, bounded)
+    result = _kruskal(_to_pairs(hist, group, groups), group, value, _PAIR)
     return _correct(result, len(groups) * (len(groups) - 1) // 2)
 
 
 def dunn(
-    df: DataFrame, value: str, groups: Sequence[str], group: str = SEGMENT, bounded: bool = False
+    df: DataFrame, value: str, groups: Sequence[str], group: str = SEGMENT
 ) -> DataFrame:
     """Dunn's test with Bonferroni adjustment as a full matrix in long form."""
     sample = df.where(F.col(group).isin(*groups))
-    sums = rank_sums(value_histogram(sample, value, [group]), group, value, (), bounded)
+    sums = rank_sums(value_histogram(sample, value, [group]), group, value)
     every = Window.partitionBy()  # k rows, one per group
     k_pairs = len(groups) * (len(groups) - 1) // 2
     stats = sums.select(
@@ -254,17 +261,9 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return _correlate(df, x, y, by, "pearson_r")
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of the average ranks, ranked within ``by``."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if bounded:
-        def rank(c):
-            # average rank = first place of the tie class + half its extra rows
-            place = F.rank().over(Window.partitionBy(*by).orderBy(c))
-            return place + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
-
-        ranked = pairs.withColumns({"rank_x": rank(x), "rank_y": rank(y)})
-    else:
-        ranked = avg_ranks(pairs, x, False, by, name="rank_x")
-        ranked = avg_ranks(ranked, y, False, by, name="rank_y")
+    ranked = avg_ranks(pairs, x, False, by, name="rank_x")
+    ranked = avg_ranks(ranked, y, False, by, name="rank_y")
     return _correlate(ranked, "rank_x", "rank_y", by, "spearman_r")

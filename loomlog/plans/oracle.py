@@ -1,12 +1,37 @@
 """Building blocks of the SQL counterparts.
 
-The SQL follows the windowed, set-based shape of each analysis (LAG over raw
-rows, NOT IN, one block per segment) rather than the rewritten form the Spark
-operators use, so that agreement tests the rewrites.
+The SQL starts from the definition of each measure and uses the database's own
+means (sorted lists per user, list functions, filtered aggregates), not the
+plan of the Spark operators, so that agreement tests both.
 """
 
 from __future__ import annotations
 
+from loomlog.operators.funnel import FUNNEL
+
+
+def visit_segments_sql(log: str, short: int, mid: int) -> str:
+    """Segment of every user from the sorted list of visit days.
+
+    A gap is of class 1 (up to ``short`` days), 2 (up to ``mid``) or 3; the class
+    with most gaps names the user, the latest gap's class where several have most.
+    """
+    return f"""
+        SELECT user_pseudo_id,
+               CASE WHEN len(days) = 1 THEN 'one_day'
+                    ELSE ['short', 'mid', 'long'][CASE WHEN len(list_filter(votes, lambda v: v = list_max(votes))) = 1
+                                                       THEN list_position(votes, list_max(votes))
+                                                       ELSE list_last(kinds) END] END AS user_segment
+        FROM (SELECT *, list_transform([1, 2, 3], lambda c: len(list_filter(kinds, lambda k: k = c))) AS votes
+              FROM (SELECT *, list_transform(range(2, len(days) + 1), lambda i: CASE
+                                WHEN days[i] - days[i - 1] <= {short} THEN 1
+                                WHEN days[i] - days[i - 1] <= {mid} THEN 2 ELSE 3 END) AS kinds
+                    FROM (SELECT user_pseudo_id, list_sort(list(DISTINCT event_date)) AS days
+                          FROM {log} GROUP BY user_pseudo_id)))"""
+
+
+_STEPS = ", ".join(f"('{key}', {step})" for step, keys in FUNNEL.items() for key in keys)
+
 # name -> (names it needs, body)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "ev_raw": ((), """
@@ -74,30 +99,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                                              WHEN '4-NOT SPECIFIED' THEN 'home: screen_view'
                                              ELSE 'search_result: screen_view' END AS pair
               FROM orders)"""),
-    # visit segments, windowed form
-    "od_seq": (("od",), """
-        SELECT DISTINCT user_pseudo_id, event_date,
-               lag(event_date) OVER (PARTITION BY user_pseudo_id ORDER BY event_date) AS prev_date
-        FROM od"""),
-    "od_gap": (("od_seq",), """
-        SELECT user_pseudo_id, event_date, prev_date, event_date - prev_date AS gap,
-               row_number() OVER (PARTITION BY user_pseudo_id ORDER BY event_date DESC) AS latest,
-               CASE WHEN event_date - prev_date <= 90 THEN 'short'
-                    WHEN event_date - prev_date <= 240 THEN 'mid' ELSE 'long' END AS class
-        FROM od_seq WHERE prev_date IS NOT NULL AND event_date <> prev_date"""),
-    "od_mode": (("od_gap",), """
-        SELECT user_pseudo_id, class
-        FROM (SELECT user_pseudo_id, class, count(*) AS c FROM od_gap GROUP BY ALL)
-        QUALIFY rank() OVER (PARTITION BY user_pseudo_id ORDER BY c DESC) = 1"""),
-    "od_clear": (("od_mode",), """
-        SELECT user_pseudo_id FROM od_mode GROUP BY user_pseudo_id HAVING count(*) = 1"""),
-    "seg": (("od_seq", "od_gap", "od_mode", "od_clear"), """
-        SELECT user_pseudo_id, 'one_day' AS user_segment FROM od_seq
-        GROUP BY user_pseudo_id HAVING count(DISTINCT event_date) = 1
-        UNION SELECT user_pseudo_id, class FROM od_mode
-        WHERE user_pseudo_id IN (SELECT user_pseudo_id FROM od_clear)
-        UNION SELECT user_pseudo_id, class FROM od_gap
-        WHERE latest = 1 AND user_pseudo_id NOT IN (SELECT user_pseudo_id FROM od_clear)"""),
+    "seg": (("od",), visit_segments_sql("od", 90, 240)),
     "split": (("seg",), """
         SELECT user_pseudo_id, CASE user_segment WHEN 'one_day' THEN 'one_day' ELSE 'revisit' END AS user_segment
         FROM seg"""),
@@ -128,12 +130,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                     ELSE 'normal_day' END AS user_segment
         FROM od GROUP BY user_pseudo_id"""),
     # funnel
-    "steps": ((), """
-        SELECT * FROM (VALUES ('home: screen_view', 1), ('home: click_food_category', 2),
-          ('home: click_recommend_food', 2), ('home: click_restaurant_nearby', 2), ('home: click_search', 2),
-          ('home: click_banner', 2), ('food_category: click_restaurant', 2), ('search: request_search', 2),
-          ('search_result: click_restaurant', 2), ('restaurant: click_food', 2), ('food_detail: click_cart', 3),
-          ('cart: click_recommend_extra_food', 3), ('cart: click_payment', 4)) AS t(screen_event, funnel_step)"""),
+    "steps": ((), f"SELECT * FROM (VALUES {_STEPS}) AS t(screen_event, funnel_step)"),
     "od_steps": (("od", "steps"), """
         SELECT od.*, steps.funnel_step FROM od JOIN steps USING (screen_event)"""),
     # weeks since the first date, counted at Sunday boundaries
@@ -201,13 +198,12 @@ CTES["cnt_inflow"] = (("od", "inflow_day"), _counts("od", "inflow_day"))
 
 def _retention(seg: str, where: str = "") -> str:
     return f"""
-        SELECT w.user_segment, w.week_diff, w.n AS retain_users, z.n AS first_users,
-               round(CAST(w.n AS DOUBLE) / z.n * 100, 3) AS retention_rate
-        FROM (SELECT user_segment, week_diff, count(DISTINCT user_pseudo_id) AS n
-              FROM diffs JOIN {seg} USING (user_pseudo_id) {where} GROUP BY 1, 2) w
-        JOIN (SELECT user_segment, count(DISTINCT user_pseudo_id) AS n
-              FROM diffs JOIN {seg} USING (user_pseudo_id) WHERE week_diff = 0 GROUP BY 1) z
-        ON z.user_segment = w.user_segment"""
+        SELECT user_segment, week_diff, len(users) AS retain_users, first_users,
+               round(CAST(len(users) AS DOUBLE) / first_users * 100, 3) AS retention_rate
+        FROM (SELECT user_segment, week_diff, list(DISTINCT user_pseudo_id) AS users,
+                     max(CASE WHEN week_diff = 0 THEN len(list(DISTINCT user_pseudo_id)) END)
+                       OVER (PARTITION BY user_segment) AS first_users
+              FROM diffs JOIN {seg} USING (user_pseudo_id) {where} GROUP BY 1, 2)"""
 
 
 CTES["ret_visit"] = (("diffs", "seg"), _retention("seg", _REVISIT))

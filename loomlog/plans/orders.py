@@ -5,7 +5,7 @@ from __future__ import annotations
 from loomlog.functions.columns import USER
 from loomlog.operators import orders as ords
 from loomlog.operators import segments as sg
-from loomlog.plans.oracle import with_ctes
+from loomlog.plans.oracle import visit_segments_sql, with_ctes
 from loomlog.sources import adapters
 from loomlog.sources.adapters import events_target as ev
 from loomlog.sources.adapters import orders_log as od
@@ -38,6 +38,9 @@ def _inflow_sizes(segments):
 QUERIES = {
     "orders_daily": lambda s, d: ords.orders_daily(ev(s, d)),
     "repeat_order_days": lambda s, d: ords.repeat_order_days(ords.orders_daily(ev(s, d))),
+    "repeat_order_days_orders": lambda s, d: ords.repeat_order_days(ords.orders_daily(od(s, d))),
+    "monthly_order_users_orders": lambda s, d: ords.order_users(od(s, d), "month"),
+    "high_order_rate_weeks_some": lambda s, d: ords.high_rate(ords.order_rate(ev(s, d), "week"), 33),
     "order_rate_daily": lambda s, d: ords.order_rate(ev(s, d), "day"),
     "order_rate_weekly": lambda s, d: ords.order_rate(ev(s, d), "week"),
     "monthly_order_users": lambda s, d: ords.order_users(ev(s, d), "month"),
@@ -49,6 +52,7 @@ QUERIES = {
     ),
     "visit_segments": lambda s, d: sg.visit_segments(od(s, d), *adapters.ORDERS_CUTS),
     "visit_segments_default_cuts": lambda s, d: sg.visit_segments(ev(s, d)),
+    "visit_segments_short_cuts": lambda s, d: sg.visit_segments(ev(s, d), 1, 3),
     "visit_segment_sizes": lambda s, d: sg.segment_sizes(
         seg(s, d),
         {"oneday_users": ["one_day"], "revisit_users": _REVISIT, "short_term_users": ["short"],
@@ -110,42 +114,20 @@ _TERM_SIZES = {"short_term_users": "'short'", "mid_term_users": "'mid'", "long_t
 
 
 def _order_seg(log, threshold):
-    pay = "event_name = 'click_payment'"
+    """Flags per user and day, summed per user."""
     return with_ctes(
-        f"""SELECT 'ordered' AS user_segment, user_pseudo_id, count(DISTINCT event_date) AS visit_day_cnt,
-                   count(DISTINCT CASE WHEN {pay} THEN event_date END) AS order_day_cnt,
-                   count(DISTINCT CASE WHEN {pay} AND holiday_date IS NULL THEN event_date END) AS order_normal_cnt,
-                   count(DISTINCT CASE WHEN {pay} AND holiday_date IS NOT NULL THEN event_date END)
-                     AS order_holiday_cnt
-            FROM {log} LEFT JOIN h ON holiday_date = event_date
-            WHERE user_pseudo_id IN (SELECT user_pseudo_id FROM {log} WHERE {pay}) GROUP BY user_pseudo_id
-            UNION
-            SELECT 'non_ordered', user_pseudo_id, count(DISTINCT event_date), 0, 0, 0 FROM {log}
-            WHERE user_pseudo_id NOT IN (SELECT user_pseudo_id FROM {log} WHERE {pay}) GROUP BY user_pseudo_id""",
+        f"""SELECT CASE WHEN bool_or(paid) THEN 'ordered' ELSE 'non_ordered' END AS user_segment, user_pseudo_id,
+                   count(*) AS visit_day_cnt, count(*) FILTER (paid) AS order_day_cnt,
+                   count(*) FILTER (paid AND NOT special) AS order_normal_cnt,
+                   count(*) FILTER (paid AND special) AS order_holiday_cnt
+            FROM (SELECT user_pseudo_id, event_date, bool_or(event_name = 'click_payment') AS paid,
+                         event_date IN (SELECT holiday_date FROM h) AS special
+                  FROM {log} GROUP BY user_pseudo_id, event_date)
+            GROUP BY user_pseudo_id""",
         log, h=_holiday(log, threshold),
     )
 
 
-# the tie and mode rules on the events log with the default cuts of 14 and 30 days
-_EV_SEGMENTS = with_ctes(
-    """SELECT user_pseudo_id, 'one_day' AS user_segment FROM ev GROUP BY 1 HAVING count(DISTINCT event_date) = 1
-       UNION
-       SELECT user_pseudo_id, class FROM m WHERE user_pseudo_id IN (SELECT user_pseudo_id FROM o)
-       UNION
-       SELECT user_pseudo_id, class FROM g
-       WHERE latest = 1 AND user_pseudo_id NOT IN (SELECT user_pseudo_id FROM o)""",
-    "ev",
-    g="""SELECT user_pseudo_id, CASE WHEN gap <= 14 THEN 'short' WHEN gap BETWEEN 15 AND 30 THEN 'mid'
-                                     ELSE 'long' END AS class,
-                row_number() OVER (PARTITION BY user_pseudo_id ORDER BY event_date DESC) AS latest
-         FROM (SELECT DISTINCT user_pseudo_id, event_date, event_date - lag(event_date) OVER
-                        (PARTITION BY user_pseudo_id ORDER BY event_date) AS gap FROM ev)
-         WHERE gap <> 0""",
-    m="""SELECT user_pseudo_id, class FROM g GROUP BY 1, 2
-         QUALIFY rank() OVER (PARTITION BY user_pseudo_id ORDER BY count(*) DESC) = 1""",
-    o="SELECT user_pseudo_id FROM m GROUP BY 1 HAVING count(*) = 1",
-)
-
 _SHARES = """SELECT label, parent, users,
                     round(CAST(users AS DOUBLE) / sum(users) OVER (PARTITION BY parent) * 100, 3)
                       AS percent_of_parent
@@ -154,6 +136,17 @@ _SHARES = """SELECT label, parent, users,
 ORACLES = {
     "orders_daily": with_ctes(_DAILY, "ev"),
     "repeat_order_days": with_ctes(_DAILY + " HAVING order_cnt <> order_users_cnt", "ev"),
+    "repeat_order_days_orders": with_ctes(
+        _DAILY.replace("FROM ev", "FROM od") + " HAVING order_cnt <> order_users_cnt", "od"),
+    "monthly_order_users_orders": with_ctes(
+        """SELECT CAST(date_trunc('month', event_date) AS DATE) AS event_month,
+                  count(DISTINCT user_id) AS order_users_cnt
+           FROM od WHERE event_name = 'click_payment' GROUP BY 1""",
+        "od",
+    ),
+    "high_order_rate_weeks_some": with_ctes(
+        f"SELECT * FROM ({_rate('ev', 'week', 'event_week', 'wau')}) WHERE order_ratio > 33", "ev"
+    ),
     "order_rate_daily": with_ctes(_rate("ev", "day", "event_date", "dau"), "ev"),
     "order_rate_weekly": with_ctes(_rate("ev", "week", "event_week", "wau"), "ev"),
     "monthly_order_users": with_ctes(
@@ -178,7 +171,8 @@ ORACLES = {
         _sizes("split", {"one_day_users": "'one_day'", "revisit_users": "'revisit'"}), "split"
     ),
     "visit_segments": with_ctes("SELECT * FROM seg", "seg"),
-    "visit_segments_default_cuts": _EV_SEGMENTS,
+    "visit_segments_default_cuts": with_ctes("SELECT * FROM s", "ev", s=visit_segments_sql("ev", 14, 30)),
+    "visit_segments_short_cuts": with_ctes("SELECT * FROM s", "ev", s=visit_segments_sql("ev", 1, 3)),
     "visit_segment_sizes": with_ctes(
         _sizes("seg", {"oneday_users": "'one_day'", "revisit_users": "'short', 'mid', 'long'"} | _TERM_SIZES), "seg"
     ),

@@ -35,8 +35,15 @@ def _written(spark, d):
 def _uncovered(spark, d):
     log = adapters.events_cleaned(spark, d)
     classes = prep.device_classes(log)
-    sets = [classes.where(F.col("device_class") == c) for c in ("both", "identified_only", "anonymous_only")]
-    return prep.uncovered_devices(log, *sets)
+    every = ["both", "identified_only", "anonymous_only"]
+    return prep.uncovered_devices(log, classes.where(F.col("device_class").isin(every)))
+
+
+def _uncovered_some(spark, d):
+    """With the anonymous-only devices left out of the sets."""
+    log = adapters.events_cleaned(spark, d)
+    classes = prep.device_classes(log)
+    return prep.uncovered_devices(log, classes.where(F.col("device_class").isin("both", "identified_only")))
 
 
 def _profile(spark, d):
@@ -61,8 +68,8 @@ QUERIES = {
     "device_classes": lambda s, d: prep.device_classes(adapters.events_cleaned(s, d)),
     "analysis_target": lambda s, d: prep.analysis_target(adapters.events_cleaned(s, d)).select(*_LOG_COLUMNS),
     "uncovered_devices": _uncovered,
+    "uncovered_devices_some": _uncovered_some,
     "anonymous_behaviour": _profile,
-    "schema_report": lambda s, d: prep.schema_report(_pivot(s, d)),
     "preview": _preview,
     "record_count": lambda s, d: prep.record_count(adapters.events_target(s, d)),
     "period_span": lambda s, d: prep.period_span(adapters.events_target(s, d)),
@@ -109,25 +116,16 @@ ORACLES = {
                                         UNION SELECT user_pseudo_id FROM guests)""",
         "guests",
     ),
+    "uncovered_devices_some": with_ctes(
+        """SELECT DISTINCT user_id, user_pseudo_id FROM clean
+           WHERE user_pseudo_id NOT IN (SELECT user_pseudo_id FROM members)""",
+        "members",
+    ),
     "anonymous_behaviour": with_ctes(
         """SELECT DISTINCT firebase_screen, event_name FROM clean
            WHERE user_pseudo_id IN (SELECT user_pseudo_id FROM guests)""",
         "guests",
     ),
-    "schema_report": with_ctes(
-        """SELECT '[ ' || string_agg('{' || chr(10) || '  "mode" : "' || mode || '",' || chr(10)
-                    || '  "name" : "' || name || '",' || chr(10)
-                    || '  "type" : "' || type || '"' || chr(10) || '}', ', ' ORDER BY pos) || ' ]' AS schema
-           FROM (SELECT pos, mode, name, type FROM (VALUES
-                   (1, 'NULLABLE', 'event_datetime', 'timestamp_ntz'), (2, 'NULLABLE', 'event_date', 'date'),
-                   (3, 'NULLABLE', 'event_time', 'string'), (4, 'NULLABLE', 'event_week', 'date'),
-                   (5, 'NULLABLE', 'event_dow', 'int'), (6, 'NULLABLE', 'user_pseudo_id', 'string'),
-                   (7, 'NULLABLE', 'user_id', 'bigint'), (8, 'NULLABLE', 'event_name', 'string')) AS t(pos, mode, name, type)
-                 UNION ALL
-                 SELECT 8 + row_number() OVER (ORDER BY key), 'NULLABLE', key, 'string'
-                 FROM (SELECT DISTINCT p.key AS key FROM ev_params))""",
-        "ev_params",
-    ),
     "preview": with_ctes(
         f"""SELECT {_ALL} FROM ev ORDER BY event_datetime, user_pseudo_id, event_name, user_id NULLS FIRST LIMIT 10""",
         "ev",

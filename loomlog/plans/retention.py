@@ -54,10 +54,16 @@ def _round(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _segment_matrix(make, label, value):
-    return lambda s, d: rt.cohort_matrix(
-        make(s, d).where(F.col("user_segment") == label), value, drop_week0=value == RATE
-    )
+def _matrix(make, value, label=None):
+    """Every cell of a matrix, of one segment if it is named."""
+
+    def run(s, d):
+        table = make(s, d)
+        if label is not None:
+            table = table.where(F.col("user_segment") == label)
+        return _round(rt.matrix_cells(rt.cohort_matrix(table, value, drop_week0=value == RATE)), "value")
+
+    return run
 
 
 def _center(make, value, how):
@@ -72,10 +78,11 @@ QUERIES = {
     "cohort_retention": cohorts,
     "cohort_retention_visit": cohorts_visit,
     "cohort_retention_inflow_week": cohorts_inflow,
-    "cohort_matrix_users": lambda s, d: rt.cohort_matrix(cohorts(s, d), USERS),
-    "cohort_matrix_rate": lambda s, d: rt.cohort_matrix(cohorts(s, d), RATE, drop_week0=True),
+    "cohort_matrix_users": _matrix(cohorts, USERS),
+    "cohort_matrix_rate": _matrix(cohorts, RATE),
+    "cohort_matrix_rate_visit": _matrix(cohorts_visit, RATE),
     **{
-        f"cohort_matrix_{name}_{label}": _segment_matrix(make, label, value)
+        f"cohort_matrix_{name}_{label}": _matrix(make, value, label)
         for make, labels in ((cohorts_visit, GROUPS), (cohorts_inflow, sg.INFLOW_LABELS))
         for label in labels
         for name, value in (("users", USERS), ("rate", RATE))
@@ -99,13 +106,16 @@ QUERIES = {
 
 
 def _matrix_sql(source, value, where="", drop0=False):
-    cond = " AND ".join(x for x in (where, "week_diff <> 0" if drop0 else "") if x)
-    # cohorts that only have week 0 keep a row, so the dropped column is removed last
-    cells = f"""SELECT cohort_week, week_diff, CAST({value} AS DOUBLE) AS v FROM {source}
-                {'WHERE ' + where if where else ''}"""
-    star = "* EXCLUDE (\"0\")" if drop0 else "*"
+    """All weeks beside all cohorts, with the cell where there is one."""
+    keys = "cohort_week" if source == "coh" else "user_segment, cohort_week"
     return with_ctes(
-        f"SELECT {star} FROM (PIVOT cells ON week_diff USING avg(v) GROUP BY cohort_week)", source, cells=cells
+        f"""SELECT {keys}, week_diff, round(v, 6) AS value
+            FROM (SELECT DISTINCT {keys} FROM cells)
+            CROSS JOIN (SELECT DISTINCT week_diff FROM cells {'WHERE week_diff <> 0' if drop0 else ''})
+            LEFT JOIN cells USING ({keys}, week_diff)""",
+        source,
+        cells=f"""SELECT {keys}, week_diff, avg(CAST({value} AS DOUBLE)) AS v FROM {source}
+                  {'WHERE ' + where if where else ''} GROUP BY {keys}, week_diff""",
     )
 
 
@@ -177,6 +187,7 @@ ORACLES = {
     "cohort_retention_inflow_week": with_ctes("SELECT * FROM coh_inflow", "coh_inflow"),
     "cohort_matrix_users": _matrix_sql("coh", USERS),
     "cohort_matrix_rate": _matrix_sql("coh", RATE, drop0=True),
+    "cohort_matrix_rate_visit": _matrix_sql("coh_visit", RATE, drop0=True),
     **{
         f"cohort_matrix_{name}_{label}": _matrix_sql(source, value, f"user_segment = '{label}'", drop0=value == RATE)
         for source, labels in (("coh_visit", GROUPS), ("coh_inflow", sg.INFLOW_LABELS))

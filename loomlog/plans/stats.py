@@ -42,7 +42,7 @@ _MW = ("z", "p_value", "rank_biserial")
 
 
 def _mw(make, first, second, value):
-    return lambda s, d: _round(st.mann_whitney(make(s, d), first, second, value, bounded=True), *_MW)
+    return lambda s, d: _round(st.mann_whitney(make(s, d), first, second, value), *_MW)
 
 
 def _chi(name):
@@ -60,25 +60,25 @@ def _rr(name, first, second):
 
 
 def _kw(make, value):
-    return lambda s, d: _round(st.kruskal(make(s, d), value, bounded=True), "h", "p_value")
+    return lambda s, d: _round(st.kruskal(make(s, d), value), "h", "p_value")
 
 
 def _kwp(make, value):
     return lambda s, d: _round(
-        st.kruskal_pairs(make(s, d), value, GROUPS, bounded=True), "h", "p_value", "alpha"
+        st.kruskal_pairs(make(s, d), value, GROUPS), "h", "p_value", "alpha"
     )
 
 
 def _dunn(make, value):
-    return lambda s, d: _round(st.dunn(make(s, d), value, GROUPS, bounded=True), "z", "p_value")
+    return lambda s, d: _round(st.dunn(make(s, d), value, GROUPS), "z", "p_value")
 
 
 def _retention_rates(s, d):
     return ret.QUERIES["weekly_retention_visit"](s, d)
 
 
-def _mean_ranks(make, value, bounded=True):
-    return lambda s, d: _round(rk.mean_ranks(make(s, d), "user_segment", value, bounded=bounded), "mean_rank")
+def _mean_ranks(make, value):
+    return lambda s, d: _round(rk.mean_ranks(make(s, d), "user_segment", value), "mean_rank")
 
 
 _COHORT_SAMPLES = {
@@ -90,7 +90,7 @@ _COHORT_SAMPLES = {
 
 QUERIES = {
     "avg_ranks_order_counts": lambda s, d: rk.avg_ranks(
-        COUNTS["order_counts_interval"](s, d), "order_cnt", bounded=True
+        COUNTS["order_counts_interval"](s, d), "order_cnt"
     ),
     "order_value_avg_ranks": lambda s, d: rk.avg_ranks(
         _order_values(s, d).select("o_orderkey", "o_totalprice"), "o_totalprice"
@@ -98,7 +98,7 @@ QUERIES = {
     "mean_ranks_order_counts": _mean_ranks(COUNTS["order_counts_interval"], "order_cnt"),
     "mean_ranks_cohort_rate": _mean_ranks(_stacked(RATE, "median"), "v"),
     "mean_ranks_cohort_users": _mean_ranks(_stacked(USERS, "median"), "v"),
-    "order_value_mean_ranks": _mean_ranks(_order_values, "o_totalprice", bounded=False),
+    "order_value_mean_ranks": _mean_ranks(_order_values, "o_totalprice"),
     "order_value_kruskal": lambda s, d: _round(st.kruskal(_order_values(s, d), "o_totalprice", GROUPS), "h", "p_value"),
     "mann_whitney_order_counts": _mw(COUNTS["order_counts_split"], "one_day", "revisit", "order_cnt"),
     "mann_whitney_revisit_inflow": _mw(COUNTS["order_counts_revisit_inflow"], *_INFLOW, "order_cnt"),
@@ -142,7 +142,7 @@ def _corr(fn, make, by, name, **kw):
 
 for _n, (_make, _by) in _RATES.items():
     QUERIES[f"pearson_{_n}"] = _corr(st.pearson, _make, _by, "pearson_r")
-    QUERIES[f"spearman_{_n}"] = _corr(st.spearman, _make, _by, "spearman_r", bounded=True)
+    QUERIES[f"spearman_{_n}"] = _corr(st.spearman, _make, _by, "spearman_r")
 
 
 # --------------------------------------------------------------------- SQL

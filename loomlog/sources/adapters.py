@@ -98,15 +98,12 @@ def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, "raw", sf_dir, lambda: nest_events(spark, sf_dir), partition="event_date")
 
 
-EVENT_KEYS = ["firebase_screen", "food_id", "session_id"]
-
-
 def events_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat log with one text column per parameter, stored by date."""
     return stored(
         spark, "cleaned", sf_dir,
-        lambda: pivot_params(events_raw(spark, sf_dir), EVENT_KEYS, TIME_ZONE),
-        partition="event_date",
+        lambda: pivot_params(events_raw(spark, sf_dir), None, TIME_ZONE),
+        partition="event_date", settings=(TIME_ZONE,),
     )
 
 
@@ -115,7 +112,7 @@ def events_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(
         spark, "target", sf_dir,
         lambda: analysis_target(events_cleaned(spark, sf_dir)),
-        partition="event_date",
+        partition="event_date", settings=(TIME_ZONE,),
     )
 
 
@@ -149,7 +146,7 @@ def orders_visit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visit segment of every customer, stored: one row per user."""
     return stored(
         spark, "visit_seg", sf_dir,
-        lambda: visit_segments(orders_log(spark, sf_dir), *ORDERS_CUTS),
+        lambda: visit_segments(orders_log(spark, sf_dir), *ORDERS_CUTS), settings=ORDERS_CUTS,
     )
 
 
@@ -171,4 +168,4 @@ def stored_inflow(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         "revisit_day": lambda: orders_inflow_day(spark, sf_dir, "revisit"),
         "week": lambda: orders_inflow_week(spark, sf_dir),
     }[kind]
-    return stored(spark, f"inflow_{kind}", sf_dir, build)
+    return stored(spark, f"inflow_{kind}", sf_dir, build, settings=(ORDERS_HOLIDAY,))

@@ -64,9 +64,10 @@ def drop_stored(spark: SparkSession) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def table_path(spark: SparkSession, name: str, source: str) -> str:
-    """Place of a stored table made from the input folder ``source``."""
-    return f"{shared_dir(spark)}/{name}-{hashlib.sha1(source.encode()).hexdigest()[:12]}"
+def table_path(spark: SparkSession, name: str, source: str, settings: tuple = ()) -> str:
+    """Place of a stored table made from the input folder ``source`` with ``settings``."""
+    mark = hashlib.sha1(repr((source, settings)).encode()).hexdigest()[:12]
+    return f"{shared_dir(spark)}/{name}-{mark}"
 
 
 def stored(
@@ -75,12 +76,13 @@ def stored(
     source: str,
     build: Callable[[], DataFrame],
     partition: str | None = None,
+    settings: tuple = (),
 ) -> DataFrame:
-    """Table built once per application and input, then read from disk.
+    """Table built once per application, input and settings, then read from disk.
 
     Files in the shared folder outlive executors, unlike cached blocks.
     """
-    path = table_path(spark, name, source)  # names the application, too
+    path = table_path(spark, name, source, settings)  # names the application, too
     with _LOCK:
         if path not in _STORED:
             df = build()

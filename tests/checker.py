@@ -71,7 +71,8 @@ def _types(table):
 def compare(spark, con, name, query, sql, sf_dir) -> list[str]:
     """Differences between both results; empty when they agree."""
     mine = query(spark, sf_dir).toArrow()
-    theirs = con.sql(sql).to_arrow_table()
+    con.execute(f"CREATE OR REPLACE TEMP VIEW wanted AS {sql}")
+    theirs = con.sql("SELECT * FROM wanted").to_arrow_table()
     problems = []
     if sorted(mine.column_names) != sorted(theirs.column_names):
         return [f"columns {sorted(mine.column_names)} != {sorted(theirs.column_names)}"]

@@ -302,7 +302,7 @@ def test_cohort_matrix_and_centers(spark):
     m = rt.cohort_matrix(c.drop("user_segment"), "retain_users").orderBy("cohort_week")
     assert m.columns == ["cohort_week", "0", "2"]
     assert [tuple(r)[1:] for r in m.collect()] == [(10.0, 4.0), (3.0, None)]
-    assert rt.cohort_matrix(c, "retain_users", drop_week0=True).columns == ["cohort_week", "2"]
+    assert rt.cohort_matrix(c, "retain_users", drop_week0=True).columns == ["user_segment", "cohort_week", "2"]
     center = rt.cohort_center(c, "cohort_retention_rate")
     wide = rt.align_groups(center, "cohort_retention_rate", ["s", "m"]).orderBy("cohort_week").collect()
     assert [tuple(r)[1:] for r in wide] == [(70.0, 0.0), (0.0, 100.0)]
@@ -317,17 +317,42 @@ def sample(spark, **groups):
     return spark.createDataFrame(data, "user_segment string, v double")
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_mann_whitney_exact(spark, bounded):
-    r = st.mann_whitney(sample(spark, a=[1, 2, 3], b=[4, 5, 6]), "a", "b", "v", bounded=bounded).first()
+def test_mann_whitney_exact(spark):
+    r = st.mann_whitney(sample(spark, a=[1, 2, 3], b=[4, 5, 6]), "a", "b", "v", method="exact").first()
     assert (r.n1, r.n2, r.u, r.rank_biserial) == (3, 3, 0.0, -1.0)
     assert r.p_value == pytest.approx(0.1)
+    tied = st.mann_whitney(sample(spark, a=[1, 2], b=[2, 3]), "a", "b", "v", method="exact").first()
+    assert tied.u == 0.5 and tied.p_value is None
+    with pytest.raises(ValueError):
+        st.mann_whitney(sample(spark, a=[1], b=[2]), "a", "b", "v", method="auto")
+
+
+def test_histogram_of_fractions(spark):
+    df = spark.createDataFrame([(x / 10,) for x in range(2, 56)] + [(None,)], "v double")
+    rows = act.interval_histogram(df, "v", 10).orderBy("bin").collect()
+    assert sum(r.cnt for r in rows) == 54 and len(rows) == 10
+    assert (rows[0].bin_start, rows[-1].bin_end) == (0.2, pytest.approx(5.5)) and all(5 <= r.cnt <= 6 for r in rows)
+
+
+def test_repeated_holiday_counts_once(spark, make_log):
+    log = make_log([("a", "2022-08-01", "click_payment"), ("a", "2022-08-02")])
+    hol = spark.createDataFrame([(D(2022, 8, 1), D(2022, 8, 1))] * 2, "holiday_date date, holiday_week date")
+    r = ords.order_segments(log, hol).first()
+    assert (r.visit_day_cnt, r.order_day_cnt, r.order_holiday_cnt) == (2, 1, 1)
+
+
+def test_matrix_keeps_segments_and_weeks(spark):
+    rows = [("x", D(2022, 8, 1), 0, 10.0), ("y", D(2022, 8, 1), 0, 30.0), ("y", D(2022, 8, 8), 5, 1.0)]
+    df = spark.createDataFrame(rows, "user_segment string, cohort_week date, week_diff bigint, v double")
+    cells = {(r.user_segment, r.cohort_week.day, r.week_diff): r.value
+             for r in rt.matrix_cells(rt.cohort_matrix(df, "v")).collect()}
+    assert cells == {("x", 1, 0): 10.0, ("x", 1, 5): None, ("y", 1, 0): 30.0, ("y", 1, 5): None, ("y", 8, 0): None, ("y", 8, 5): 1.0}
 
 
 def test_mann_whitney_undefined(spark):
-    r = st.mann_whitney(sample(spark, a=[1, 1], b=[1]), "a", "b", "v", bounded=True).first()
+    r = st.mann_whitney(sample(spark, a=[1, 1], b=[1]), "a", "b", "v").first()
     assert r.z is None and r.p_value is None
-    r = st.mann_whitney(sample(spark, a=[1, 2]), "a", "b", "v", bounded=True).first()
+    r = st.mann_whitney(sample(spark, a=[1, 2]), "a", "b", "v").first()
     assert r.u is None and r.p_value is None
 
 
@@ -341,21 +366,20 @@ def test_chi_square(spark):
     assert z.z == pytest.approx((1 / 3 - 2 / 3) / math.sqrt(0.5 * 0.5 * (2 / 30)))
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_kruskal(spark, bounded):
+def test_kruskal(spark):
     df = sample(spark, a=[1, 2], b=[3, 4], c=[5, 6])
-    r = st.kruskal(df, "v", bounded=bounded).first()
+    r = st.kruskal(df, "v").first()
     assert r.h == pytest.approx(32 / 7) and r.p_value == pytest.approx(math.exp(-16 / 7))
-    pairs = st.kruskal_pairs(df, "v", ["a", "b", "c"], bounded=bounded).collect()
+    pairs = st.kruskal_pairs(df, "v", ["a", "b", "c"]).collect()
     assert sorted((p.group_a, p.group_b) for p in pairs) == [("a", "b"), ("a", "c"), ("b", "c")]
     assert all(p.h == pytest.approx(2.4) and p.alpha == pytest.approx(0.05 / 3) for p in pairs)
-    same = st.kruskal(sample(spark, a=[1, 1], b=[1]), "v", bounded=bounded).first()
+    same = st.kruskal(sample(spark, a=[1, 1], b=[1]), "v").first()
     assert same.h is None and same.p_value is None
 
 
 def test_dunn(spark):
     got = {(r.group_a, r.group_b): r for r in
-           st.dunn(sample(spark, a=[1, 2], b=[3, 4], c=[5, 6]), "v", ["a", "b", "c"], bounded=True).collect()}
+           st.dunn(sample(spark, a=[1, 2], b=[3, 4], c=[5, 6]), "v", ["a", "b", "c"]).collect()}
     assert len(got) == 9 and got["a", "a"].p_value == 1.0
     z = 4 / math.sqrt(3.5)  # mean ranks 1.5 and 5.5; 6*7/12 * (1/2 + 1/2)
     assert got["a", "c"].z == pytest.approx(z)
@@ -363,18 +387,16 @@ def test_dunn(spark):
     assert got["a", "c"].p_value == got["c", "a"].p_value
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_average_ranks(spark, bounded):
+def test_average_ranks(spark):
     df = sample(spark, a=[5, 3, 3, 1])
-    got = rk.avg_ranks(df, "v", bounded=bounded).orderBy(F.desc("v")).collect()
+    got = rk.avg_ranks(df, "v").orderBy(F.desc("v")).collect()
     assert [r.avg_rank for r in got] == [1, 2.5, 2.5, 4]
-    assert rk.mean_ranks(df, "user_segment", "v", bounded=bounded).first().mean_rank == 2.5
+    assert rk.mean_ranks(df, "user_segment", "v").first().mean_rank == 2.5
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_correlations(spark, bounded):
+def test_correlations(spark):
     df = spark.createDataFrame([(float(x), float(x**3)) for x in range(1, 6)], "x double, y double")
-    r = st.spearman(df, "x", "y", bounded=bounded).first()
+    r = st.spearman(df, "x", "y").first()
     assert r.spearman_r == pytest.approx(1.0) and r.p_value == pytest.approx(0.0, abs=1e-9)
     flat = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 2.0)], "x double, y double")
     assert st.pearson(flat, "x", "y").first().pearson_r is None
