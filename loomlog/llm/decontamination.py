@@ -35,6 +35,12 @@ def simhash(shingles: np.ndarray) -> int:
     return int(np.packbits(signs).view(np.int64)[0])
 
 
+def _spots(shingles: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """Places in the map of shingles known from items of ``length`` words; 0 stands for any length."""
+    salt = mix(np.asarray(length, np.uint64).reshape(-1), 24)
+    return (mix(shingles ^ salt, 23) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("item", pa.int64()), ("words", pa.int64()), ("print", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     for batch in slices(batches, "text"):
@@ -50,35 +56,39 @@ def _windows(bits: np.ndarray, lengths: list[int], kind: pa.DataType):
     """Mapper: windows of each length in ``lengths`` that can be similar enough to an item.
 
     Similarity of 80 % asks for as many of a window's shingles, repeats counted,
-    among those of the items; ``bits`` tells which may be, and never misses one.
+    among those of the items of its own length, the only ones it is compared with;
+    ``bits`` tells which may be, and never misses one.
     """
     schema = pa.schema([("id", kind), ("start", pa.int64()), ("words", pa.int64()), ("print", pa.int64()),
                         ("shingles", pa.list_(pa.int64()))])
-    mask = np.uint64((1 << MAP_BITS) - 1)
 
-    def candidates(hit: np.ndarray):
-        """(start, shingles, item length) of windows in one text, given which shingles may be known."""
-        sums = np.concatenate([[0], np.cumsum(hit)])
+    def held(shingles: np.ndarray, length: int) -> np.ndarray:
+        spot = _spots(shingles, length)
+        return (bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def candidates(grams: np.ndarray, known: np.ndarray):
+        """(start, shingles, item length) of windows in one text, given the places of shingles any item may have."""
         for length in lengths:
             count = max(1, length - SIZE + 1)
-            wide = min(count, len(hit))
-            if wide * 100 < count * PERCENT:
+            wide = min(count, len(grams))
+            if min(wide, len(known)) * 100 < count * PERCENT:
                 continue
-            known = sums[wide:] - sums[:-wide]
-            for start in np.flatnonzero(known * 100 >= count * PERCENT).tolist():
+            hit = np.zeros(len(grams) + 1, np.int64)
+            hit[known[held(grams[known], length)] + 1] = 1
+            sums = np.cumsum(hit)
+            for start in np.flatnonzero((sums[wide:] - sums[:-wide]) * 100 >= count * PERCENT).tolist():
                 yield start, wide, length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             offsets, words = split_words(batch.column("text"))
             edges, grams = shingle_hashes(offsets, hash_dictionary(words), SIZE)
-            spot = (mix(grams, 23) & mask).astype(np.int64)
-            hit = (bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            hit = held(grams, 0)
             sums = np.concatenate([[0], np.cumsum(hit)])
             ids, out = batch.column("id"), []
             for row in np.flatnonzero(sums[edges[1:]] > sums[edges[:-1]]).tolist():
                 mine, seen = grams[edges[row] : edges[row + 1]], {}
-                for start, wide, length in candidates(hit[edges[row] : edges[row + 1]]):
+                for start, wide, length in candidates(mine, np.flatnonzero(hit[edges[row] : edges[row + 1]])):
                     if (start, wide) not in seen:
                         part = mine[start : start + wide]
                         seen[start, wide] = (simhash(part), weighted(part).view(np.int64))
@@ -98,13 +108,14 @@ def _windows(bits: np.ndarray, lengths: list[int], kind: pa.DataType):
 
 
 def _bit_map(items: DataFrame) -> np.ndarray:
-    """Fixed-size map of all item shingles (unnumbered ones hit first): 2**22 bits for any benchmark."""
+    """Fixed-size map of all item shingles, alone and with their item's length: 2**22 bits for any benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             offsets, words = split_words(batch.column("text"))
-            grams = np.unique(shingle_hashes(offsets, hash_dictionary(words), SIZE)[1])
-            yield pa.RecordBatch.from_arrays([pa.array((mix(grams, 23) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64))], ["spot"])
+            edges, grams = shingle_hashes(offsets, hash_dictionary(words), SIZE)
+            spots = np.concatenate([_spots(grams, 0), _spots(grams, np.repeat(np.diff(offsets), np.diff(edges)))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(spots))], ["spot"])
 
     spots = items.mapInArrow(run, "spot long")
     words = spots.groupBy(F.shiftright("spot", 6).alias("at")).agg(
