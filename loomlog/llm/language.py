@@ -194,7 +194,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
         F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rates = known.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("rate"))
-    chosen = known.join(rates, "lang").filter(uniform(seed, "id", F.xxhash64("text")) < F.col("rate")).select("lang", "text")
+    # a row per language, fewer than the texts the fit itself gathers: the texts need no shuffle
+    chosen = known.join(F.broadcast(rates), "lang").filter(uniform(seed, "id", F.xxhash64("text")) < F.col("rate")).select("lang", "text")
     taught = chosen.mapInArrow(_examples, "lang string, counts binary").toArrow()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()),
