@@ -20,6 +20,32 @@ def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def identified(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` with ``_same``, so that ``key`` and ``_same`` together tell every row apart.
+
+    Rows whose key is their own carry -1 and are read where they lie; only rows
+    with a null or repeated key are numbered and written. The list of those keys
+    is written first, so that the joins are planned by its real size.
+    """
+    again = df.groupBy(key).agg(F.count("*").alias("_n")).filter(f"_n > 1 or `{key}` is null")
+    again = cut_lineage(again.select(F.col(key).alias("_again")))
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    some = numbered(df.join(again, same, "left_semi"), "_same")
+    return df.join(again, same, "left_anti").withColumn("_same", F.lit(-1).cast("long")).unionByName(some)
+
+
+def same_row(key: str = "doc_id") -> Column:
+    """Join condition of :func:`identified` rows with a table of (_id, _of)."""
+    return F.col(key).eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_of"))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """:func:`identified` rows that are not in ``gone`` (``key``, _same). ``gone`` is
+    written first: a short list goes to the rows, a long one is merged with them."""
+    listed = cut_lineage(gone.select(F.col(key).alias("_id"), F.col("_same").alias("_of")).distinct())
+    return rows.join(listed, same_row(key), "left_anti")
+
+
 def running_totals(
     df: DataFrame, group: list[str], order: list[Column], value: str, out: str, row: str = "_row"
 ) -> DataFrame:
