@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20  # what a task derives from a slice is many times as large
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
