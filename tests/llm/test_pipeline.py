@@ -7,6 +7,7 @@ import pytest
 from reference import leaks, near_components, source_targets, words
 
 import corpus_pipeline as cp
+from loomlog.llm.running import identified, without
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -75,3 +76,15 @@ def test_odd_and_empty_rows(spark, odd_docs):
             docs = stage(spark, docs, SF_DIR)
             assert docs.columns == columns
         assert cp.STAGES[4][1](spark, docs, SF_DIR).count() == docs.count() and (docs.count() > 0) == (rows > 0)
+
+
+def test_equal_ids_are_told_apart(spark, odd_docs):
+    rows = identified(odd_docs)
+    got = rows.select("doc_id", "_same").collect()
+    assert len(got) == len(set(got)) == odd_docs.count()
+    assert {r.doc_id for r in got if r._same >= 0} == {None, 3}
+    assert without(rows, rows.filter("doc_id is null or doc_id = 5").select("doc_id", "_same")).count() == 10
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text), (1, text + " end"), (1, "other"), (2, text)], "doc_id long, text string")
+    left = sorted(cp.near_copies(spark, docs, SF_DIR).collect())
+    assert [r.doc_id for r in left] == [1, 1] and left[0].text == "other" and left[1].text in (text, text + " end")
