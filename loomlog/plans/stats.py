@@ -1,9 +1,4 @@
-"""Test and correlation queries on the orders log.
-
-Order counts and weekly measures take few different values (see
-``ranks.rank_histogram``), so they use the bounded ranking. Totals per order
-(``order_value_*``) do not, and use the range-partitioned one.
-"""
+"""Test and correlation queries on the orders log."""
 
 from __future__ import annotations
 
