@@ -1,6 +1,7 @@
 """Small cases with results worked out by hand."""
 
 import datetime as dt
+import json
 import math
 
 import pytest
@@ -411,3 +412,10 @@ def test_risk_ratio(spark):
     assert st.risk_ratio(f, "a", "b").first()[0] == 2.0
     counts = rows(st.conversion_counts(f), "user_segment", "yes", "no")
     assert counts == [("a", 1, 1), ("b", 1, 3)]
+
+
+def test_schema_report(spark):
+    df = spark.createDataFrame([(1, "a")], "n bigint not null, t string")
+    (row,) = prep.schema_report(df).collect()
+    assert json.loads(row["schema"]) == [
+        {"mode": "REQUIRED", "name": "n", "type": "bigint"}, {"mode": "NULLABLE", "name": "t", "type": "string"}]
