@@ -17,16 +17,7 @@ from loomlog.functions.columns import (
     week_start,
     whole_seconds,
 )
-
-
-def user_days(log: DataFrame) -> DataFrame:
-    """Distinct (user, date).
-
-    The common base of everything about visits. Duplicates collapse before the
-    shuffle, and afterwards one user has at most one row per calendar day, so
-    work grouped by user stays small even for a user with very many events.
-    """
-    return log.select(USER, DAY).distinct()
+from loomlog.operators.userdays import user_days
 
 
 # ------------------------------------------------------------- active users

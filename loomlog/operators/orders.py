@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions.columns import DAY, USER, broadcast_days, percent, period, period_name, week_start
+from loomlog.operators.userdays import is_order, ordered, ordered_days
 
-ORDER_EVENT = "click_payment"
 _VISITORS = {"day": "dau", "week": "wau", "month": "mau"}
 
 
-def is_order() -> Column:
-    return F.col("event_name") == ORDER_EVENT
-
-
 def orders_daily(log: DataFrame) -> DataFrame:
     """Orders and ordering users per day."""
     return (
@@ -41,13 +37,14 @@ def order_rate(log: DataFrame, grain: str = "day", buyer: str = "user_id") -> Da
     a ``user_id`` stays, with 0 ordering users.
 
     With the same id on both sides one pass over (period, user) rows is
-    enough. With two ids, two scans of disjoint columns cost no more reading
-    than one, avoid expanding every row per distinct count, and let the order
-    filter reach the files; only calendar-sized tables meet in the join.
+    enough, and a store serves as well as a log. With two ids the log is read
+    twice, the second time only its orders (the filter reaches the files), which
+    avoids expanding every row per distinct count; only calendar-sized tables
+    meet in the join.
     """
     key, visitors = period_name(grain), _VISITORS[grain]
     if buyer == USER:
-        per_user = log.groupBy(period(grain), USER).agg(F.bool_or(is_order()).alias("ordered"))
+        per_user = log.groupBy(period(grain), USER).agg(F.bool_or(ordered(log)).alias("ordered"))
         counted = (
             per_user.groupBy(key)
             .agg(F.count("*").alias(visitors), F.count_if("ordered").alias("order_users_cnt"))
@@ -69,7 +66,7 @@ def segment_order_rate(log: DataFrame, seg: DataFrame, grain: str = "week") -> D
     map, so a user with very many events is a handful of rows in the join.
     """
     key, visitors = period_name(grain), _VISITORS[grain]
-    per_user = log.groupBy(USER, period(grain)).agg(F.bool_or(is_order()).alias("ordered"))
+    per_user = log.groupBy(USER, period(grain)).agg(F.bool_or(ordered(log)).alias("ordered"))
     return (
         per_user.join(seg, USER)
         .groupBy("user_segment", key)
@@ -97,7 +94,7 @@ def holidays(log: DataFrame, threshold: float = 30, buyer: str = "user_id") -> D
 
 def order_segments(log: DataFrame, hol: DataFrame) -> DataFrame:
     """Visit days, order days, and order days outside and inside holidays."""
-    days = log.groupBy(USER, DAY).agg(F.bool_or(is_order()).alias("ordered"))
+    days = ordered_days(log)
     flag = hol.select(F.col("holiday_date").alias(DAY), F.lit(True).alias("holiday")).distinct()
     marked = days.join(broadcast_days(flag), DAY, "left")
     per_user = marked.groupBy(USER).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions.columns import DAY, USER, percent, sunday_week, week_start
-from loomlog.operators.activity import user_days
+from loomlog.operators.userdays import user_days
 from loomlog.sources.tables import cut_lineage
 
 

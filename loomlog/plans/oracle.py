@@ -139,8 +139,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(date_trunc('week', first_date) AS DATE) AS cohort_week,
                CAST(floor((event_date - DATE '1970-01-01' + 4) / 7.0)
                     - floor((first_date - DATE '1970-01-01' + 4) / 7.0) AS BIGINT) AS week_diff
-        FROM (SELECT DISTINCT user_pseudo_id, event_date,
-                     min(event_date) OVER (PARTITION BY user_pseudo_id) AS first_date FROM od)"""),
+        FROM (SELECT user_pseudo_id, days[1] AS first_date, unnest(days) AS event_date
+              FROM (SELECT user_pseudo_id, list_sort(list(DISTINCT event_date)) AS days FROM od GROUP BY user_pseudo_id))"""),
     "coh": (("diffs",), """
         SELECT cohort_week, week_diff, n AS retain_users, f AS first_week_users,
                round(CAST(n AS DOUBLE) / f * 100, 3) AS cohort_retention_rate

@@ -7,7 +7,9 @@ from loomlog.operators import orders as ords
 from loomlog.operators import segments as sg
 from loomlog.plans.oracle import visit_segments_sql, with_ctes
 from loomlog.sources import adapters
+from loomlog.sources.adapters import events_days as ev_days
 from loomlog.sources.adapters import events_target as ev
+from loomlog.sources.adapters import orders_days as od_days
 from loomlog.sources.adapters import orders_log as od
 from loomlog.sources.adapters import orders_visit_segments as seg
 
@@ -46,13 +48,13 @@ QUERIES = {
     "monthly_order_users": lambda s, d: ords.order_users(ev(s, d), "month"),
     "high_order_rate_weeks": lambda s, d: ords.high_rate(ords.order_rate(ev(s, d), "week"), 12),
     "high_order_rate_weeks_orders": lambda s, d: ords.high_rate(ords.order_rate(od(s, d), "week"), 20),
-    "revisit_split": lambda s, d: sg.revisit_split(od(s, d)),
+    "revisit_split": lambda s, d: sg.revisit_split(od_days(s, d)),
     "revisit_split_sizes": lambda s, d: sg.segment_sizes(
-        sg.revisit_split(od(s, d)), {"one_day_users": ["one_day"], "revisit_users": ["revisit"]}
+        sg.revisit_split(od_days(s, d)), {"one_day_users": ["one_day"], "revisit_users": ["revisit"]}
     ),
-    "visit_segments": lambda s, d: sg.visit_segments(od(s, d), *adapters.ORDERS_CUTS),
-    "visit_segments_default_cuts": lambda s, d: sg.visit_segments(ev(s, d)),
-    "visit_segments_short_cuts": lambda s, d: sg.visit_segments(ev(s, d), 1, 3),
+    "visit_segments": lambda s, d: sg.visit_segments(od_days(s, d), *adapters.ORDERS_CUTS),
+    "visit_segments_default_cuts": lambda s, d: sg.visit_segments(ev_days(s, d)),
+    "visit_segments_short_cuts": lambda s, d: sg.visit_segments(ev_days(s, d), 1, 3),
     "visit_segment_sizes": lambda s, d: sg.segment_sizes(
         seg(s, d),
         {"oneday_users": ["one_day"], "revisit_users": _REVISIT, "short_term_users": ["short"],
@@ -77,8 +79,8 @@ QUERIES = {
     "inflow_sizes_revisit": lambda s, d: _inflow_sizes(inflow("revisit_day")(s, d)),
     "inflow_sizes": lambda s, d: _inflow_sizes(inflow("day")(s, d)),
     "inflow_sizes_week": lambda s, d: _inflow_sizes(inflow("week")(s, d)),
-    "order_segments": lambda s, d: ords.order_segments(ev(s, d), ev_holidays(s, d)),
-    "order_segments_orders": lambda s, d: ords.order_segments(od(s, d), od_holidays(s, d)),
+    "order_segments": lambda s, d: ords.order_segments(ev_days(s, d), ev_holidays(s, d)),
+    "order_segments_orders": lambda s, d: ords.order_segments(od_days(s, d), od_holidays(s, d)),
 }
 
 

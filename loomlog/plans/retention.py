@@ -10,6 +10,7 @@ from loomlog.operators import segments as sg
 from loomlog.plans.funnel import intervals
 from loomlog.plans.oracle import with_ctes
 from loomlog.plans.orders import inflow
+from loomlog.sources.adapters import orders_days as od_days
 from loomlog.sources.adapters import orders_log as od
 
 GROUPS = list(sg.REVISIT_LABELS)
@@ -17,15 +18,15 @@ RATE, USERS = "cohort_retention_rate", "retain_users"
 
 
 def cohorts(s, d):
-    return rt.cohort_retention(od(s, d))
+    return rt.cohort_retention(od_days(s, d))
 
 
 def cohorts_visit(s, d):
-    return rt.cohort_retention(od(s, d), intervals(s, d))
+    return rt.cohort_retention(od_days(s, d), intervals(s, d))
 
 
 def cohorts_inflow(s, d):
-    return rt.cohort_retention(od(s, d), inflow("week")(s, d))
+    return rt.cohort_retention(od_days(s, d), inflow("week")(s, d))
 
 
 def aligned(value, how):
@@ -38,14 +39,14 @@ def rates_all(s, d):
 
 def rates_visit(s, d):
     return rt.join_rates(
-        rt.cohort_center(cohorts_visit(s, d), RATE), ords.segment_order_rate(od(s, d), intervals(s, d))
+        rt.cohort_center(cohorts_visit(s, d), RATE), ords.segment_order_rate(od_days(s, d), intervals(s, d))
     )
 
 
 def rates_inflow(s, d):
     return rt.join_rates(
         rt.calendar_center(cohorts_inflow(s, d)),
-        ords.segment_order_rate(od(s, d), inflow("week")(s, d)),
+        ords.segment_order_rate(od_days(s, d), inflow("week")(s, d)),
         key="calendar_week",
     )
 
@@ -71,10 +72,10 @@ def _center(make, value, how):
 
 
 QUERIES = {
-    "week_diffs": lambda s, d: rt.week_diffs(od(s, d)),
-    "weekly_retention_visit": lambda s, d: rt.weekly_retention(od(s, d), intervals(s, d)),
-    "weekly_retention_revisit_inflow": lambda s, d: rt.weekly_retention(od(s, d), inflow("revisit_day")(s, d)),
-    "weekly_retention_inflow": lambda s, d: rt.weekly_retention(od(s, d), inflow("day")(s, d)),
+    "week_diffs": lambda s, d: rt.week_diffs(od_days(s, d)),
+    "weekly_retention_visit": lambda s, d: rt.weekly_retention(od_days(s, d), intervals(s, d)),
+    "weekly_retention_revisit_inflow": lambda s, d: rt.weekly_retention(od_days(s, d), inflow("revisit_day")(s, d)),
+    "weekly_retention_inflow": lambda s, d: rt.weekly_retention(od_days(s, d), inflow("day")(s, d)),
     "cohort_retention": cohorts,
     "cohort_retention_visit": cohorts_visit,
     "cohort_retention_inflow_week": cohorts_inflow,
@@ -96,8 +97,8 @@ QUERIES = {
     "cohort_center_inflow_users_median": _center(cohorts_inflow, USERS, "median"),
     "align_groups_rate_median": lambda s, d: _round(aligned(RATE, "median")(s, d), *GROUPS),
     "align_groups_users_mean": lambda s, d: _round(aligned(USERS, "mean")(s, d), *GROUPS),
-    "order_rate_weekly_visit": lambda s, d: ords.segment_order_rate(od(s, d), intervals(s, d)),
-    "order_rate_weekly_inflow": lambda s, d: ords.segment_order_rate(od(s, d), inflow("week")(s, d)),
+    "order_rate_weekly_visit": lambda s, d: ords.segment_order_rate(od_days(s, d), intervals(s, d)),
+    "order_rate_weekly_inflow": lambda s, d: ords.segment_order_rate(od_days(s, d), inflow("week")(s, d)),
     "retention_order_rate": lambda s, d: _round(rates_all(s, d), "retention_rate"),
     "retention_order_rate_visit": lambda s, d: _round(rates_visit(s, d), "retention_rate"),
     "calendar_center_inflow": lambda s, d: _round(rt.calendar_center(cohorts_inflow(s, d)), RATE),

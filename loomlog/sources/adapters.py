@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions.columns import USER, clock_time, epoch_micros, iso_dow, local_datetime, week_start
+from loomlog.functions.columns import DAY, USER, clock_time, epoch_micros, iso_dow, local_datetime, week_start
 from loomlog.operators.preparation import analysis_target, pivot_params
 from loomlog.operators.orders import holidays
 from loomlog.operators.segments import inflow_segments, visit_segments
-from loomlog.sources.tables import stored
+from loomlog.operators.userdays import SPAN, store_rows
+from loomlog.sources.tables import stored, stored_bucketed
 
 TIME_ZONE = "Asia/Seoul"
 
@@ -116,7 +117,7 @@ def events_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flat_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat log in which every order is one event of its customer."""
     orders = orders_table(spark, sf_dir)
     rank = F.substring("o_orderpriority", 1, 1)
@@ -142,30 +143,44 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`flat_orders`, stored in files by range of date; event names are plain values there."""
+    return stored(spark, "orders_log", sf_dir, lambda: flat_orders(spark, sf_dir), order=(DAY, "event_name"))
+
+
+def events_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User-day store of the member devices, by month."""
+    build = lambda: store_rows(events_target(spark, sf_dir))
+    return spark.table(stored_bucketed(spark, "events_days", sf_dir, build, USER, [USER, DAY], SPAN, (TIME_ZONE,)))
+
+
+def orders_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User-day store of the customers, by year."""
+    build = lambda: store_rows(orders_log(spark, sf_dir), "year")
+    return spark.table(stored_bucketed(spark, "orders_days", sf_dir, build, USER, [USER, DAY], SPAN))
+
+
 def orders_visit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visit segment of every customer, stored: one row per user."""
-    return stored(
-        spark, "visit_seg", sf_dir,
-        lambda: visit_segments(orders_log(spark, sf_dir), *ORDERS_CUTS), settings=ORDERS_CUTS,
-    )
+    """Visit segment of every customer, stored and bucketed like the store: one row per user."""
+    build = lambda: visit_segments(orders_days(spark, sf_dir), *ORDERS_CUTS)
+    return spark.table(stored_bucketed(spark, "visit_seg", sf_dir, build, USER, [USER], settings=ORDERS_CUTS))
 
 
 def orders_inflow_day(spark: SparkSession, sf_dir: str, base: str = "all") -> DataFrame:
-    log = orders_log(spark, sf_dir)
-    return inflow_segments(log, holidays(log, ORDERS_HOLIDAY), "day", base)
+    return inflow_segments(orders_days(spark, sf_dir), holidays(orders_log(spark, sf_dir), ORDERS_HOLIDAY), "day", base)
 
 
 def orders_inflow_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By week, with the holidays counted by device."""
-    log = orders_log(spark, sf_dir)
-    return inflow_segments(log, holidays(log, ORDERS_HOLIDAY, USER), "week")
+    days = orders_days(spark, sf_dir)
+    return inflow_segments(days, holidays(days, ORDERS_HOLIDAY, USER), "week")
 
 
 def stored_inflow(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Inflow map ``day``, ``revisit_day`` or ``week``, stored: one row per user."""
+    """Inflow map ``day``, ``revisit_day`` or ``week``, stored and bucketed: one row per user."""
     build = {
         "day": lambda: orders_inflow_day(spark, sf_dir),
         "revisit_day": lambda: orders_inflow_day(spark, sf_dir, "revisit"),
         "week": lambda: orders_inflow_week(spark, sf_dir),
     }[kind]
-    return stored(spark, f"inflow_{kind}", sf_dir, build, settings=(ORDERS_HOLIDAY,))
+    return spark.table(stored_bucketed(spark, f"inflow_{kind}", sf_dir, build, USER, [USER], settings=(ORDERS_HOLIDAY,)))
