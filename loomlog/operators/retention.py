@@ -68,24 +68,59 @@ def cohort_retention(log: DataFrame, seg: DataFrame | None = None) -> DataFrame:
     )
 
 
-def cohort_matrix(cohorts: DataFrame, value: str, drop_week0: bool = False) -> DataFrame:
+def _cohort_keys(cohorts: DataFrame) -> list[str]:
+    return [c for c in ("user_segment", "cohort_week") if c in cohorts.columns]
+
+
+def cohort_cells(cohorts: DataFrame, value: str, drop_week0: bool = False) -> DataFrame:
+    """A cohort matrix in one pass: per cohort (and segment, if there is one) the map ``cells``
+    from week difference to mean value.
+
+    Nothing runs while this is planned: the columns of the matrix are the keys of
+    the maps. A map has as many entries as the log has weeks.
+    """
+    keys = _cohort_keys(cohorts)
+    means = cohorts.groupBy(*keys, "week_diff").agg(F.avg(F.col(value).cast("double")).alias("v"))
+    kept = F.lit(True) if not drop_week0 else F.col("week_diff") != 0
+    entry = F.when(kept & F.col("v").isNotNull(), F.struct("week_diff", "v"))
+    week = F.when(kept, F.col("week_diff"))
+    return means.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("cells"), F.collect_list(week).alias("weeks"))
+
+
+def cell_rows(cells: DataFrame) -> DataFrame:
+    """Long form of :func:`cohort_cells`: a row for every cohort and every week of any cohort, absent cells included.
+
+    The weeks of all cohorts meet in one window over a row per cohort, which the
+    calendar and the number of segments bound.
+    """
+    keys = _cohort_keys(cells)
+    every = F.array_distinct(F.flatten(F.collect_list("weeks").over(Window.partitionBy())))
+    rows = cells.select(*keys, "cells", every.alias("every")).select(*keys, "cells", F.explode("every").alias("week_diff"))
+    return rows.select(
+        *keys, "week_diff", F.try_element_at("cells", F.col("week_diff")).alias("value"))
+
+
+def cohort_matrix(
+    cohorts: DataFrame, value: str, drop_week0: bool = False, weeks: Sequence[int] | None = None
+) -> DataFrame:
     """One row per cohort (and segment, if there is one), one column per week
-    difference in the data, NULL where a cell is absent.
+    difference, NULL where a cell is absent.
 
-    The week differences become column names, so they are looked up first; there
-    are at most as many as the log has weeks.
+    Without ``weeks`` the week differences in the data become the columns. A table
+    cannot be planned without its columns, so the maps of :func:`cohort_cells` are
+    then written, once, and their keys looked up; given weeks need no job.
     """
-    cohorts = cut_lineage(cohorts)  # a small table; without this the log would be read twice
-    weeks = sorted(r[0] for r in cohorts.select("week_diff").distinct().collect())
-    if drop_week0:
-        weeks = [w for w in weeks if w != 0]
-    keys = [c for c in ("user_segment", "cohort_week") if c in cohorts.columns]
-    return cohorts.groupBy(*keys).pivot("week_diff", weeks).agg(F.avg(F.col(value).cast("double")))
+    cells = cohort_cells(cohorts, value, drop_week0)
+    if weeks is None:
+        cells = cut_lineage(cells)
+        weeks = sorted(r[0] for r in cells.select(F.explode("weeks")).distinct().collect())
+    return cells.select(*_cohort_keys(cohorts), *[F.try_element_at("cells", F.lit(w).cast("bigint")).alias(str(w)) for w in weeks])
 
 
 def matrix_cells(matrix: DataFrame) -> DataFrame:
     """Long form of a cohort matrix: a row for every cell, absent ones included."""
-    keys = [c for c in ("user_segment", "cohort_week") if c in matrix.columns]
+    keys = _cohort_keys(matrix)
     weeks = [c for c in matrix.columns if c not in keys]
     cells = matrix.unpivot(keys, weeks, "week_diff", "value")
     return cells.withColumn("week_diff", F.col("week_diff").cast("bigint"))
@@ -93,7 +128,7 @@ def matrix_cells(matrix: DataFrame) -> DataFrame:
 
 def cohort_center(cohorts: DataFrame, value: str, how: str = "median") -> DataFrame:
     """Median or mean over the weeks of each cohort (and segment, if there is one)."""
-    keys = [c for c in ("user_segment", "cohort_week") if c in cohorts.columns]
+    keys = _cohort_keys(cohorts)
     center = {"median": F.median, "mean": F.avg}[how]
     return cohorts.groupBy(*keys).agg(center(F.col(value).cast("double")).alias(value))
 

@@ -71,29 +71,36 @@ def segment_sizes(seg: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFr
     )
 
 
+def _chain(label: str, parents: Mapping[str, str]) -> list[tuple[str, str]]:
+    """(node, parent) from a label up to the root, which is written as an empty string."""
+    chain, node = [], label
+    while node != "":
+        if len(chain) > len(parents):
+            raise ValueError(f"the parents of {label!r} lead back to it")
+        above = parents.get(node, "")
+        chain.append((node, above))
+        node = above
+    return chain
+
+
 def segment_shares(seg: DataFrame, parents: Mapping[str, str] | None = None) -> DataFrame:
-    """Users per segment and parent with the percentage of the parent's total.
+    """Users per node of a share tree, with the percentage of the parent's total.
 
-    ``parents`` names the parent of a label; labels without one hang below the
-    root, written as an empty string. Parents get a row of their own.
+    ``parents`` names the parent of a label or of another parent, to any depth; a
+    label without one hangs below the root, written as an empty string. Users
+    are counted by label once; each count then goes to its label and all that
+    stands above it, and one grouping by node adds up the whole tree. Nodes
+    without users have no row; a circle of parents raises.
     """
     parents = dict(parents or {})
-    counts = seg.groupBy(F.col("user_segment").alias("label")).agg(F.count("*").alias("users"))
-    parent = F.lit("")
-    for child, above in parents.items():
-        parent = F.when(F.col("label") == child, above).otherwise(parent)
-    leaves = counts.withColumn("parent", parent)
-    inner = (
-        leaves.where("parent <> ''")
-        .groupBy("parent")
-        .agg(F.sum("users").alias("users"))
-        .select(F.col("parent").alias("label"), "users", F.lit("").alias("parent"))
-    )
-    nodes = leaves.unionByName(inner) if parents else leaves
-    whole = F.sum("users").over(Window.partitionBy("parent"))
-    return nodes.select(
-        "label", "parent", "users", percent(F.col("users"), whole).alias("percent_of_parent")
-    )
+    counts = seg.groupBy(F.col("user_segment").alias("leaf")).agg(F.count("*").alias("n"))
+    chain = F.array(F.struct(F.col("leaf").alias("label"), F.lit("").alias("parent")))
+    for leaf in parents:
+        steps = F.array(*[F.struct(F.lit(n).alias("label"), F.lit(p).alias("parent")) for n, p in _chain(leaf, parents)])
+        chain = F.when(F.col("leaf") == leaf, steps).otherwise(chain)
+    nodes = counts.select("n", F.inline(chain)).groupBy("label", "parent").agg(F.sum("n").alias("users"))
+    whole = F.sum("users").over(Window.partitionBy("parent"))  # one row per node
+    return nodes.select("label", "parent", "users", percent(F.col("users"), whole).alias("percent_of_parent"))
 
 
 def inflow_segments(log: DataFrame, hol: DataFrame, by: str = "day", base: str = "all") -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from loomlog.functions.columns import fraction
 from loomlog.functions.pvalues import chi2_p, correlation_p, rank_sum_p, normal_p
-from loomlog.operators.ranks import avg_ranks, rank_sums, value_histogram
+from loomlog.operators.ranks import named_rank_sums, pair_rank_sums, rank_histogram, rank_sums, value_histogram
+from loomlog.sources.tables import cut_lineage
 
 ALPHA = 0.05
 SEGMENT = "user_segment"
@@ -55,8 +56,7 @@ def mann_whitney(
     """
     if method not in ("asymptotic", "exact"):
         raise ValueError(f"method must be 'asymptotic' or 'exact', got {method!r}")
-    sample = df.where(F.col(group).isin(first, second))
-    sums = rank_sums(value_histogram(sample, value, [group]), group, value)
+    sums = named_rank_sums(df, group, value, [first, second])
 
     def of(label, column):
         return F.max(F.when(F.col(group) == label, F.col(column)))
@@ -86,8 +86,7 @@ def mann_whitney(
     )
 
 
-def _kruskal(hist: DataFrame, group: str, value: str, by: Sequence[str]) -> DataFrame:
-    sums = rank_sums(hist, group, value, by)
+def _kruskal(sums: DataFrame, by: Sequence[str]) -> DataFrame:
     n = F.col("n_total").cast("double")
     # squared distances from the mean rank: no difference of two huge numbers
     off = F.col("rank_sum") / F.col("n") - (F.col("total") + 1) / 2
@@ -111,16 +110,16 @@ def kruskal(
     df: DataFrame, value: str, groups: Sequence[str] | None = None, group: str = SEGMENT
 ) -> DataFrame:
     """Kruskal-Wallis H with tie correction."""
-    sample = df if groups is None else df.where(F.col(group).isin(*groups))
-    return _kruskal(value_histogram(sample, value, [group]), group, value, ())
+    if groups is None:
+        return _kruskal(rank_sums(value_histogram(df, value, [group]), group, value), ())
+    return _kruskal(named_rank_sums(df, group, value, groups), ())
 
 
 def kruskal_pairs(
     df: DataFrame, value: str, groups: Sequence[str], group: str = SEGMENT
 ) -> DataFrame:
     """Kruskal-Wallis for each pair of groups, ranked within the pair."""
-    hist = value_histogram(df.where(F.col(group).isin(*groups)), value, [group])
-    result = _kruskal(_to_pairs(hist, group, groups), group, value, _PAIR)
+    result = _kruskal(pair_rank_sums(df, group, value, groups), _PAIR)
     return _correct(result, len(groups) * (len(groups) - 1) // 2)
 
 
@@ -128,8 +127,7 @@ def dunn(
     df: DataFrame, value: str, groups: Sequence[str], group: str = SEGMENT
 ) -> DataFrame:
     """Dunn's test with Bonferroni adjustment as a full matrix in long form."""
-    sample = df.where(F.col(group).isin(*groups))
-    sums = rank_sums(value_histogram(sample, value, [group]), group, value)
+    sums = named_rank_sums(df, group, value, groups)
     every = Window.partitionBy()  # k rows, one per group
     k_pairs = len(groups) * (len(groups) - 1) // 2
     stats = sums.select(
@@ -262,8 +260,33 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of the average ranks, ranked within ``by``."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = avg_ranks(pairs, x, False, by, name="rank_x")
-    ranked = avg_ranks(ranked, y, False, by, name="rank_y")
-    return _correlate(ranked, "rank_x", "rank_y", by, "spearman_r")
+    """Pearson correlation of the average ranks, ranked within ``by``.
+
+    Equal pairs are counted and written first: both rankings and the sums start
+    from these counts, so ``df`` is read once. The mean rank is known, so the sums are
+    those of squared distances, whatever the number of rows.
+    """
+    by = list(by)
+    pairs = cut_lineage(
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("n"))
+    )
+    ranked = pairs
+    for side in ("_x", "_y"):
+        ranks = rank_histogram(pairs.groupBy(*by, side).agg(F.sum("n").alias("n")), side, by)
+        ranked = ranked.join(ranks.select(*by, side, "total", F.col("rank_asc").alias(f"rank{side}")).withColumnRenamed(
+            "total", f"total{side}"), [*by, side])
+    dx, dy = (F.col(f"rank{side}") - (F.col(f"total{side}") + 1) / 2 for side in ("_x", "_y"))
+    sides = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
+    r = F.when((F.col("n") > 2) & (sides > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("xy") / sides)))
+    return (
+        ranked.groupBy(*by)
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.col("n") * dx * dy).alias("xy"),
+            F.sum(F.col("n") * dx * dx).alias("xx"),
+            F.sum(F.col("n") * dy * dy).alias("yy"),
+        )
+        .select(*by, "n", r.alias("spearman_r"))
+        .withColumn("p_value", correlation_p("spearman_r", "n"))
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loomlog.functions.columns import USER
 from loomlog.operators import orders as ords
 from loomlog.operators import segments as sg
@@ -33,6 +35,20 @@ def inflow(kind):
     return lambda s, d: adapters.stored_inflow(s, d, kind)
 
 
+#: Three levels: how users came in, whether they came back, and after how long.
+TREE_PARENTS = {
+    f"{inflow}/{label}": f"{inflow}/revisit" if label in _REVISIT else inflow
+    for inflow in sg.INFLOW_LABELS for label in ("one_day", "revisit", *_REVISIT)
+}
+
+
+def inflow_tree(s, d):
+    """Shares of the tree inflow, one-day or revisit, short, mid or long."""
+    visits = seg(s, d).withColumnRenamed("user_segment", "visit")
+    leaves = inflow("day")(s, d).join(visits, USER).select(USER, F.concat_ws("/", "user_segment", "visit").alias("user_segment"))
+    return sg.segment_shares(leaves, TREE_PARENTS)
+
+
 def _inflow_sizes(segments):
     return sg.segment_sizes(segments, {"holiday_inflow": ["holiday"], "normal_day_inflow": ["normal_day"]})
 
@@ -69,6 +85,7 @@ QUERIES = {
         seg(s, d), {"short_term_users": ["short"], "mid_term_users": ["mid"], "long_term_users": ["long"]}
     ),
     "visit_segment_shares": lambda s, d: sg.segment_shares(seg(s, d), VISIT_PARENTS),
+    "inflow_visit_tree": inflow_tree,
     "inflow_shares": lambda s, d: sg.segment_shares(inflow("day")(s, d)),
     "holidays": ev_holidays,
     "holidays_by_device": lambda s, d: ev_holidays(s, d, USER),
@@ -187,6 +204,16 @@ ORACLES = {
              UNION ALL
              SELECT 'revisit', '', count(*) FROM split WHERE user_segment = 'revisit'""",
     ),
+    "inflow_visit_tree": with_ctes(
+        _SHARES, "inflow_day", "seg",
+        u="""SELECT i.user_segment AS way, s.user_segment AS visit, s.user_segment <> 'one_day' AS back
+             FROM inflow_day i JOIN seg s USING (user_pseudo_id)""",
+        n="""SELECT way AS label, '' AS parent, count(*) AS users FROM u GROUP BY way
+             UNION ALL
+             SELECT way || CASE WHEN back THEN '/revisit' ELSE '/one_day' END, way, count(*) FROM u GROUP BY way, back
+             UNION ALL
+             SELECT way || '/' || visit, way || '/revisit', count(*) FROM u WHERE back GROUP BY way, visit""",
+    ),
     "inflow_shares": with_ctes(
         _SHARES, "inflow_day",
         n="SELECT user_segment AS label, '' AS parent, count(*) AS users FROM inflow_day GROUP BY 1",

@@ -62,7 +62,7 @@ def _matrix(make, value, label=None):
         table = make(s, d)
         if label is not None:
             table = table.where(F.col("user_segment") == label)
-        return _round(rt.matrix_cells(rt.cohort_matrix(table, value, drop_week0=value == RATE)), "value")
+        return _round(rt.cell_rows(rt.cohort_cells(table, value, drop_week0=value == RATE)), "value")
 
     return run
 

@@ -33,11 +33,34 @@ def _order_values(s, d):
     return orders.join(visit_seg(s, d), "user_pseudo_id")
 
 
+def nation_totals(s, d):
+    """Order value per customer nation, with its region; distinct values, few rows, made from all orders."""
+    tables = {n: s.read.parquet(f"{d}/{n}.parquet") for n in ("orders", "customer", "nation", "region")}
+    totals = (
+        tables["orders"].join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("c_nationkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+    )
+    named = totals.join(F.broadcast(tables["nation"]), F.col("c_nationkey") == F.col("n_nationkey")).join(
+        F.broadcast(tables["region"]), F.col("n_regionkey") == F.col("r_regionkey"))  # the world's nations
+    return named.select(F.col("r_name").alias("user_segment"), F.col("v").cast("double").alias("v"))
+
+
 _MW = ("z", "p_value", "rank_biserial")
 
 
-def _mw(make, first, second, value):
-    return lambda s, d: _round(st.mann_whitney(make(s, d), first, second, value), *_MW)
+def _mw(make, first, second, value, method="asymptotic"):
+    return lambda s, d: _round(st.mann_whitney(make(s, d), first, second, value, method=method), *_MW)
+
+
+def exact_prices(s, d):
+    """Exact test of order values, urgent against high priority, thousands in each group.
+
+    Values held by several orders are left out, because ties have no exact p.
+    """
+    orders = orders_table(s, d).where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    single = orders.groupBy(F.col("o_totalprice").alias("v")).agg(
+        F.count("*").alias("n"), F.min("o_orderpriority").alias("user_segment"))
+    return _round(st.mann_whitney(single.where("n = 1"), "1-URGENT", "2-HIGH", "v", method="exact"), *_MW)
 
 
 def _chi(name):
@@ -104,6 +127,8 @@ QUERIES = {
         ret.QUERIES["weekly_retention_revisit_inflow"], *_INFLOW, "retention_rate"
     ),
     "mann_whitney_retention_inflow": _mw(ret.QUERIES["weekly_retention_inflow"], *_INFLOW, "retention_rate"),
+    "mann_whitney_exact_nations": _mw(nation_totals, "ASIA", "EUROPE", "v", "exact"),
+    "mann_whitney_exact_prices": exact_prices,
     "chi_square_revisit_split": _chi("open_funnel_revisit_split"),
     "chi_square_interval": _chi("open_funnel_interval"),
     "chi_square_revisit_inflow": _chi("open_funnel_revisit_inflow"),
@@ -341,6 +366,48 @@ ORACLES = {
         ["ret_inflow_revisit"], _sample("ret_inflow_revisit", "retention_rate"), *_INFLOW
     ),
     "mann_whitney_retention_inflow": _mw_sql(["ret_inflow"], _sample("ret_inflow", "retention_rate"), *_INFLOW),
+    # the real transform of U about its mean, summed over the frequencies at which it has not died away
+    "mann_whitney_exact_prices": with_ctes(
+        """SELECT n1, n2, u, round((greatest(u, size - u) - size / 2 - 0.5::DOUBLE) / sd, 6) AS z,
+                  round(least(1.0::DOUBLE, 2.0::DOUBLE / (size + 1) * (least + 1 + 2 * (SELECT sum(term) FROM terms))), 6) AS p_value,
+                  round(2 * u / size - 1, 6) AS rank_biserial
+           FROM base""",
+        smp="""SELECT o_totalprice AS v, any_value(o_orderpriority) AS g FROM orders
+               WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY v HAVING count(*) = 1""",
+        base="""SELECT *, CAST(n1 * n2 AS DOUBLE) AS size, sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1)) AS sd,
+                       floor(least(u, n1 * n2 - u)) AS least
+                FROM (SELECT count(*) FILTER (g = '1-URGENT') AS n1, count(*) FILTER (g = '2-HIGH') AS n2,
+                             CAST(sum(CASE WHEN g = '1-URGENT' THEN r END) AS DOUBLE)
+                             - count(*) FILTER (g = '1-URGENT') * (count(*) FILTER (g = '1-URGENT') + 1) / 2 AS u
+                      FROM (SELECT g, row_number() OVER (ORDER BY v) AS r FROM smp))""",
+        waves="""SELECT n1, n2, size, least, unnest(range(1, 1 + CAST(least(size / 2, 40 + 2 * size / sd) AS BIGINT))) * 2 * pi() / (size + 1) AS t
+                 FROM base""",
+        factors="""SELECT t, size, least, sum(ln(abs(sin((n2 + i) * t / 2) * i / ((n2 + i) * sin(i * t / 2))))) AS lg,
+                          sum(CASE WHEN sin((n2 + i) * t / 2) * sin(i * t / 2) < 0 THEN 1 ELSE 0 END) % 2 AS odd
+                   FROM (SELECT *, unnest(range(1, n1 + 1)) AS i FROM waves) GROUP BY t, size, least""",
+        terms="""SELECT CASE WHEN odd = 1 THEN -1 ELSE 1 END * exp(lg) * sin((least + 1) * t / 2) / sin(t / 2)
+                        * cos(t * (least - size) / 2) AS term
+                 FROM factors""",
+    ),
+    "mann_whitney_exact_nations": with_ctes(
+        """SELECT n1, n2, u, round((greatest(u, n1 * n2 - u) - n1 * n2 / 2.0::DOUBLE - 0.5::DOUBLE)
+                                   / sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1)), 6) AS z,
+                  round(least(1.0::DOUBLE, 2.0::DOUBLE * (SELECT count(*) FROM draws WHERE du <= least(u, n1 * n2 - u))
+                                           / (SELECT count(*) FROM draws)), 6) AS p_value,
+                  round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial
+           FROM base""",
+        tot="""SELECT r_name AS g, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS v
+               FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+               JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_nationkey""",
+        base="""SELECT (SELECT count(*) FROM tot WHERE g = 'ASIA') AS n1, (SELECT count(*) FROM tot WHERE g = 'EUROPE') AS n2,
+                       (SELECT CAST(count(*) AS DOUBLE) FROM tot a JOIN tot b ON a.v > b.v
+                        WHERE a.g = 'ASIA' AND b.g = 'EUROPE') AS u""",
+        # every choice of n1 of the n1 + n2 places as a bit mask, and its U
+        draws="""SELECT list_sum(list_transform(range(1, n1 + n2 + 1), lambda i: CASE WHEN (m >> CAST(i - 1 AS INTEGER)) & 1 = 1 THEN i ELSE 0 END))
+                        - n1 * (n1 + 1) // 2 AS du
+                 FROM (SELECT n1, n2, unnest(range(CAST(power(2, n1 + n2) AS BIGINT))) AS m FROM base)
+                 WHERE bit_count(m) = n1""",
+    ),
     "chi_square_revisit_split": _chi_sql("fun_split"),
     "chi_square_interval": _chi_sql("fun_interval"),
     "chi_square_revisit_inflow": _chi_sql("fun_inflow_revisit"),
