@@ -22,6 +22,7 @@ from loomlog.operators.userdays import user_days
 
 # ------------------------------------------------------------- active users
 
+# Names of the result columns.
 _ACTIVE = {"day": "dau", "week": "wau", "month": "mau"}
 
 

@@ -46,49 +46,47 @@ def enrich_time(df: DataFrame, ts_us: str = "event_timestamp", tz: str = DEFAULT
     return local.select(*kept, "event_datetime", *_time_columns(F.col("event_datetime")))
 
 
-def _single_values(params: Column) -> Column:
-    """The parameter array as is, or one array per element if a key repeats."""
-    repeats = F.size(F.array_distinct(params["key"])) < F.size(params)
-    return F.explode(F.when(repeats, F.transform(params, lambda p: F.array(p))).otherwise(F.array(params)))
+def merged_params(raw: DataFrame, tz: str = DEFAULT_TZ) -> DataFrame:
+    """One row per event with ``params``, the map from parameter key to text, before any key is known.
+
+    Events with equal attributes are one event, and of several values for a key the
+    largest stays. An event is one row on its way into the one shuffle; only behind
+    it, in sorted runs, are parameters taken apart, brought down to one per key and
+    collected again. A map has one entry per key. Events without parameters drop
+    out, as in an inner unnest; a parameter without a key leaves its event.
+    """
+    text = F.transform("event_params", lambda p: F.struct(
+        p["key"].alias("key"),
+        F.coalesce(p["value"]["string_value"], p["value"]["int_value"].cast("string")).alias("text")))
+    events = raw.where(F.size("event_params") > 0).select(
+        local_datetime(F.col("event_timestamp"), tz).alias("event_datetime"), USER, "user_id", "event_name", text.alias("list"))
+    single = events.repartition(*_ATTRIBUTES).select(*_ATTRIBUTES, F.inline("list"))
+    largest = single.groupBy(*_ATTRIBUTES, "key").agg(F.max("text").alias("text"))
+    entry = F.when(F.col("key").isNotNull(), F.struct("key", "text"))
+    return largest.groupBy(*_ATTRIBUTES).agg(F.map_from_entries(F.collect_list(entry)).alias("params"))
 
 
-def _value_of(key: str) -> Column:
-    """Text of the parameter with this key, found by its place in ``names``."""
-    place = F.array_position("names", key).cast("int") - 1
-    value = F.get(F.col("params"), place)["value"]
-    return F.coalesce(value["string_value"], value["int_value"].cast("string"))
+def lay_out(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One text column per key of :func:`merged_params`; keys that are not named are left out."""
+    return events.select(
+        "event_datetime", *_time_columns(F.col("event_datetime")), USER, "user_id", "event_name",
+        *[F.try_element_at("params", F.lit(k)).alias(k) for k in sorted(keys)],
+    )
 
 
 def pivot_params(raw: DataFrame, keys: Sequence[str] | None = None, tz: str = DEFAULT_TZ) -> DataFrame:
     """One text column per parameter key.
 
-    Values are picked inside the row, so an event stays one row on its way
-    into the shuffle however many parameters it has. Only an event that
-    repeats a key becomes one row per parameter; the grouping, which has to
-    merge events with equal attributes anyway, then keeps the largest value
-    per key. Events without parameters drop out, as in an inner unnest. Given
-    ``keys`` select the columns; other parameters are left out.
+    The log is read once: its merged events are written, and without given ``keys``
+    those found in their maps become the columns. Given ``keys`` select the columns
+    and need no stored table. See :func:`merged_params` for what becomes of repeated
+    keys and events.
     """
-    keys = param_keys(raw) if keys is None else sorted(keys)
-    events = raw.where(F.size("event_params") > 0).select(
-        local_datetime(F.col("event_timestamp"), tz).alias("event_datetime"),
-        USER,
-        "user_id",
-        "event_name",
-        _single_values(F.col("event_params")).alias("params"),
-    )
-    flat = events.withColumn("names", F.col("params")["key"]).select(
-        *_ATTRIBUTES, *[_value_of(k).alias(k) for k in keys]
-    )
-    if keys:
-        # dealt out before the grouping: text maxima sort, and one sort is enough
-        merged = flat.repartition(*_ATTRIBUTES).groupBy(*_ATTRIBUTES).agg(*[F.max(F.col(f"`{k}`")).alias(k) for k in keys])
-    else:
-        merged = flat.distinct()
-    return merged.select(
-        "event_datetime", *_time_columns(F.col("event_datetime")), USER, "user_id", "event_name",
-        *[F.col(f"`{k}`") for k in keys],
-    )
+    events = merged_params(raw, tz)
+    if keys is None:
+        events = cut_lineage(events)
+        keys = [r[0] for r in events.select(F.explode(F.map_keys("params"))).distinct().collect()]  # column names: few
+    return lay_out(events, keys)
 
 
 def cast_params(df: DataFrame, types: Mapping[str, str]) -> DataFrame:

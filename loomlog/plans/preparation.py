@@ -9,6 +9,7 @@ from loomlog.plans.oracle import with_ctes
 from loomlog.sources import adapters
 from loomlog.sources.tables import read_table, table_path, write_table
 
+# The columns of the flat log.
 _LOG_COLUMNS = (
     "event_datetime", "event_date", "event_time", "event_week", "event_dow", "user_pseudo_id", "user_id",
     "event_name", "firebase_screen", "food_id", "session_id",
@@ -19,6 +20,10 @@ def _pivot(spark, d):
     return prep.pivot_params(adapters.events_raw(spark, d))
 
 
+def _pivot_lines(spark, d):
+    return prep.pivot_params(adapters.nest_lineitem(spark, d), tz="UTC")
+
+
 def _enrich(spark, d):
     raw = adapters.events_raw(spark, d).drop("event_params")
     return prep.enrich_time(raw)
@@ -59,6 +64,7 @@ def _preview(spark, d):
 QUERIES = {
     "param_keys": lambda s, d: prep.param_key_table(adapters.events_raw(s, d)),
     "pivot_params": _pivot,
+    "pivot_params_merging": _pivot_lines,
     "enrich_time": _enrich,
     "write_target_by_date": _written,
     "cast_params": lambda s, d: prep.cast_params(
@@ -81,6 +87,17 @@ _ALL = ", ".join(_LOG_COLUMNS)
 ORACLES = {
     "param_keys": with_ctes("SELECT DISTINCT p.key AS param_key FROM ev_params", "ev_params"),
     "pivot_params": with_ctes(f"SELECT {_ALL} FROM clean", "clean"),
+    "pivot_params_merging": """
+        SELECT dt AS event_datetime, CAST(dt AS DATE) AS event_date, '00:00:00.000000' AS event_time,
+               CAST(date_trunc('week', dt) AS DATE) AS event_week, CAST(isodow(dt) AS INTEGER) AS event_dow,
+               'o' || l_orderkey AS user_pseudo_id, l_orderkey AS user_id, 'line_' || l_linestatus AS event_name,
+               flag_A, flag_N, flag_R, quantity, supplier
+        FROM (SELECT TIMESTAMP '1970-01-01' + to_days(CAST(l_orderkey % 1000 AS INTEGER)) AS dt, l_orderkey, l_linestatus,
+                     max(CAST(l_linenumber AS VARCHAR)) FILTER (l_returnflag = 'A') AS flag_A,
+                     max(CAST(l_linenumber AS VARCHAR)) FILTER (l_returnflag = 'N') AS flag_N,
+                     max(CAST(l_linenumber AS VARCHAR)) FILTER (l_returnflag = 'R') AS flag_R,
+                     max(CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)) AS quantity, max('s' || l_suppkey) AS supplier
+              FROM lineitem GROUP BY ALL)""",
     "enrich_time": with_ctes(
         """SELECT epoch_us(ts) AS event_timestamp, split_part(pair, ': ', 2) AS event_name, uid AS user_id,
                   device AS user_pseudo_id,

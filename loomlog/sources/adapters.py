@@ -94,6 +94,27 @@ def nest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nest_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``lineitem`` table as a nested log: every line is a delivery of its order's event, so lines merge."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+    def param(key, text, number):
+        value = F.struct(text.cast("string").alias("string_value"), number.cast("bigint").alias("int_value"))
+        return F.struct(key.alias("key"), value.alias("value"))
+
+    return lines.select(
+        (F.col("l_orderkey") % 1000 * 86_400_000_000).alias("event_timestamp"),
+        F.concat(F.lit("line_"), "l_linestatus").alias("event_name"),
+        F.array(
+            param(F.concat(F.lit("flag_"), "l_returnflag"), F.col("l_linenumber"), F.lit(None)),
+            param(F.lit("quantity"), F.lit(None), F.col("l_quantity")),
+            param(F.lit("supplier"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.lit(None)),
+        ).alias("event_params"),
+        F.col("l_orderkey").alias("user_id"),
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("user_pseudo_id"),
+    )
+
+
 def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested raw log, stored by date as an app would deliver it."""
     return stored(spark, "raw", sf_dir, lambda: nest_events(spark, sf_dir), partition="event_date")
