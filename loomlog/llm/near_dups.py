@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,8 @@ from loomlog.llm.words import hash_dictionary, mix, shingle_hashes, slices, spli
 from loomlog.sources.tables import cut_lineage
 
 BINS, ROWS = 128, 4  # 32 bands of 4 rows: a pair at similarity 0.8 misses all with probability 5e-8
-STARS = (1, 2, 2)  # centres per bucket and turn
-SIEVE_BITS = 22
+DIRECT = 64  # members of a bucket that are compared pair by pair; more go by their differences from a centre
+SIEVE_BITS = (16, 26)  # least and greatest size of the first filter; its fill follows from the number of sets
 
 
 def _set_rows(offsets: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,14 +100,16 @@ def _described(docs: DataFrame, size: int, full: bool) -> DataFrame:
 def sieve(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose ``column`` may be among ``wanted``: a first filter before a join.
 
-    The filter is one bit map of a fixed 2**22 bits, whatever the number of values;
-    a full map lets all rows pass.
+    The filter is a bit map with some sixteen bits for each wanted value, of 8 MB at
+    the most; where that is too little for them, more rows pass, and none is lost.
     """
-    spot = F.xxhash64(column).bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    low, high = SIEVE_BITS
+    size = min(high, max(low, (16 * max(1, wanted.count())).bit_length()))
+    spot = F.xxhash64(column).bitwiseAND(F.lit((1 << size) - 1))
     bits = wanted.select(spot.alias("_s")).groupBy(F.shiftright("_s", 6).alias("id")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(_s & 63 as int))")).alias("_b")
     )
-    words = df.sparkSession.range(1 << SIEVE_BITS - 6).join(bits, "id", "left").select(
+    words = df.sparkSession.range(1 << size - 6).join(bits, "id", "left").select(
         F.struct("id", F.coalesce("_b", F.lit(0)).alias("b")).alias("w")
     )
     table = words.groupBy().agg(F.sort_array(F.collect_list("w"))["b"].alias("_map"))
@@ -152,46 +154,146 @@ def _similar(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(both * 100 >= union * percent).select("a", "b")
 
 
+def _pair(one: str, two: str) -> list:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def _rooted(rows: DataFrame, roots: DataFrame | None, name: str = "node", out: str = "root") -> DataFrame:
+    """``rows`` with the root of the component that the node belongs to so far."""
+    if roots is None:
+        return rows.withColumn(out, F.col(name))
+    known = roots.select(F.col("node").alias(name), F.col("root").alias("_known"))
+    return rows.join(known, name, "left").withColumn(out, F.coalesce("_known", name)).drop("_known")
+
+
+def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members, with their roots, of the buckets that still hold nodes of several components."""
+    placed = cut_lineage(_rooted(members.drop("root"), roots))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"))
+    mixed = cut_lineage(mixed.filter("low < high").select("key", "m"))
+    return cut_lineage(placed.drop("m").join(mixed.hint("merge"), "key"))
+
+
+class _Links:
+    """Pairs that were compared, and the components that the confirmed links make."""
+
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent, self.tested, self.roots = sets, percent, None, None
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Compare the pairs (a, b) on their full sets, each pair once in a run."""
+        fresh = pairs.distinct()
+        if self.tested is not None:
+            fresh = fresh.join(self.tested, ["a", "b"], "left_anti")
+        fresh = cut_lineage(fresh)
+        links = cut_lineage(_similar(self.sets, fresh, self.percent))
+        self.tested = fresh if self.tested is None else self.tested.union(fresh)
+        if not links.isEmpty():
+            self.roots = _joined(self.roots, links)
+
+
+def _may_link(one: str, two: str, percent: int) -> Column:
+    """Whether two sizes allow the sets to overlap enough."""
+    return F.least(one, two) * 100 >= F.greatest(one, two) * percent
+
+
+def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components in buckets of up to ``DIRECT`` members."""
+    listed = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "n")).alias("list"))
+
+    def partners(x):
+        apart = lambda y: (x["node"] < y["node"]) & (x["root"] != y["root"]) & (
+            F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
+        return F.transform(F.filter("list", apart), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+    return listed.select(F.inline(F.flatten(F.transform("list", partners))))
+
+
+def _difference_buckets(groups: DataFrame, links: _Links) -> DataFrame:
+    """Smaller buckets for the groups (c, node) around a centre: nodes that share a difference from it.
+
+    Let D = 100 + percent, c the centre, o the overlap with it, and k = percent *
+    |x| - D * o + 100 * |c|. Two nodes x and y are linked only if they share K =
+    (k(x) + k(y) - (100 - percent) * |c|) / D or more of their differences from c,
+    which are the shingles that x has and c has not, and the other way round. K is
+    above zero unless both are linked with c. So, with the differences in an
+    order that all nodes agree on, a linked pair has a common one among the first
+    |differences| - K + 1 of each (prefix filter). What most of a family has in
+    common cancels out; what is left tells its close pairs apart, and no pair that
+    may be linked is lost. Nodes of the centre's own component need to meet the
+    others only.
+    """
+    percent, whole = links.percent, 100 + links.percent
+    node = links.sets.select("node", F.col("shingles").alias("x"))
+    centre = links.sets.select(F.col("node").alias("c"), F.col("shingles").alias("s"))
+    rooted = _rooted(_rooted(groups, links.roots), links.roots, "c", "centre_root")
+    apart = rooted.join(node, "node").join(centre, "c").select(
+        "c", "node", "degree", "n", (F.col("root") == F.col("centre_root")).alias("near"), F.size("s").cast("long").alias("size"),
+        F.concat(F.array_sort(F.array_except("x", "s")), F.array_sort(F.array_except("s", "x"))).alias("apart"),
+        (percent * F.size("x") - whole * F.size(F.array_intersect("x", "s")) + 100 * F.size("s")).cast("long").alias("k"))
+    apart = cut_lineage(apart)
+    least = apart.groupBy("c").agg(
+        F.min(F.when(~F.col("near"), F.col("k"))).alias("far_k"), F.min(F.when(F.col("near"), F.col("k"))).alias("near_k"))
+    rows = apart.join(cut_lineage(least.filter("far_k is not null")), "c")
+
+    def prefixes(which: Column, other: str, kind: int) -> DataFrame:
+        shared = F.greatest(F.lit(1), F.ceil((F.col("k") + F.col(other) - (100 - percent) * F.col("size")) / whole).cast("int"))
+        first = (F.size("apart") - shared + 1).cast("int")
+        chosen = rows.filter(which & F.col(other).isNotNull()).filter(first > 0)
+        return chosen.select(
+            F.explode(F.slice("apart", F.lit(1), first)).alias("e"), "c", "node", "degree", "n", "near").select(
+            F.xxhash64("c", "e", F.lit(kind)).alias("key"), F.lit(kind).alias("kind"), "node", "degree", "n", "near")
+
+    near, far = F.col("near"), ~F.col("near")
+    among = prefixes(far, "far_k", 0)
+    across = prefixes(near, "far_k", 1).unionByName(prefixes(far, "near_k", 1))
+    held = cut_lineage(among.unionByName(across).distinct())
+    # buckets of the second kind are for pairs with a node of the centre's component
+    kinds = held.groupBy("key").agg(F.max("kind").alias("kind"), F.max("near").alias("near"), F.min("near").alias("all_near"), F.count("*").alias("m"))
+    useful = kinds.filter((F.col("m") > 1) & ~F.col("all_near") & ((F.col("kind") == 0) | F.col("near")))
+    return held.drop("kind", "near").join(cut_lineage(useful.select("key")).hint("merge"), "key")
+
+
 def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of the confirmed links among the members (key, node, degree) of the buckets.
-
-    Each turn takes centres in every bucket that still holds nodes of different
-    components and tests the nodes of other components against them, a star per
-    centre, so a turn makes no more pairs than ``STARS`` per place in a bucket.
-    The first centre is the node that shares buckets with most others: of copies
-    that each differ from a common text in their own way it is the closest to
-    that text, and what it does not reach, no other does. Later turns take other
-    centres, a different choice in every bucket a pair shares. Linked nodes and
-    former centres need no more tests in a bucket.
+    """(node, root) after every two nodes that share a bucket were compared or are in one component.
+
+    ``members`` has key, node, degree and n, the size of the set. Each turn compares,
+    in every bucket that still holds nodes of different components, all nodes with
+    a centre, the node that shares buckets with most others: of copies that each
+    differ from a common text in their own way it is the closest to that text.
+    Buckets of up to ``DIRECT`` members that are not settled by that are compared
+    pair by pair. Larger ones are split into buckets of nodes that share a
+    difference from the centre, see :func:`_difference_buckets`, which the next
+    turn takes up. A bucket all of whose members have been around this centre before
+    holds nothing new. It ends when no bucket is open; no number of turns, pairs or
+    members is a limit.
     """
-    roots, tested, left = None, None, members
-    for turn, stars in enumerate(STARS):
-        if roots is None:
-            placed = left.withColumn("root", F.col("node"))
-        else:
-            placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        mixed = cut_lineage(mixed.select("key"))
-        if mixed.isEmpty():
-            break
-        chance = F.xxhash64("node", "key", F.lit(turn))
-        first = -F.col("degree") if turn == 0 else chance
-        open_ = cut_lineage(placed.join(mixed.hint("merge"), "key", "left_semi"))
-        centres = open_.groupBy("key", F.pmod(chance, F.lit(stars)).alias("_p")).agg(
-            F.min(F.struct(first.alias("o"), F.xxhash64("node").alias("h"), "node", "root")).alias("c")).select(
-            "key", F.col("c.node").alias("cn"), F.col("c.root").alias("cr"))
-        met = open_.join(centres, "key").filter("root <> cr").select(
-            F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b")).distinct()
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
-        met = cut_lineage(met)
-        links = cut_lineage(_similar(sets, met, percent))
-        tested = met if tested is None else tested.union(met)
-        if not links.isEmpty():
-            roots = _joined(roots, links)
-        gone = centres.select("key", F.col("cn").alias("node"))
-        left = open_.join(gone, ["key", "node"], "left_anti").select("key", "node", "degree")
-    return roots
+    links, around, left = _Links(sets, percent), None, members
+    while True:
+        held = _open(left, links.roots)
+        if held.isEmpty():
+            return links.roots
+        heads = cut_lineage(held.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("node").alias("h"), "node", "n")).alias("c")).select(
+            "key", F.col("c.node").alias("c"), F.col("c.n").alias("cn")))
+        stars = held.join(heads, "key").filter("node <> c").filter(_may_link("n", "cn", percent))
+        links.compare(stars.select(*_pair("node", "c")))
+        held = _open(held, links.roots)
+        links.compare(_all_pairs(held.filter(F.col("m") <= DIRECT), percent))
+        large = held.filter(F.col("m") > DIRECT)
+        if large.isEmpty():
+            return links.roots
+        grouped = large.join(heads.select("key", "c"), "key").filter("node <> c").select("key", "c", "node", "degree", "n")
+        if around is not None:
+            known = around.withColumn("_seen", F.lit(True))
+            marked = cut_lineage(grouped.join(known, ["c", "node"], "left"))
+            news = marked.filter("_seen is null").select("key").distinct()
+            grouped = marked.drop("_seen").join(cut_lineage(news).hint("merge"), "key", "left_semi")
+        groups = cut_lineage(grouped.select("c", "node", "degree", "n").distinct())
+        if groups.isEmpty():
+            return links.roots
+        pairs = groups.select("c", "node")
+        around = pairs if around is None else around.union(pairs).distinct()
+        left = _difference_buckets(groups, links)
 
 
 def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -219,9 +321,11 @@ def near_groups(
     is the document's own. Fewer words than ``size`` are one shingle; null or
     empty text has none and is linked with nothing. Null keys take part but are
     not kept. Equal sets, told by their size and a 128-bit sum of hashes, are one
-    node, so copies make no pairs. Candidates meet in buckets of MinHash bands;
-    every link is confirmed on the full sets, read again from the texts of the
-    nodes that share a bucket. Repeated rows get equal results.
+    node, so copies make no pairs. Candidates meet in buckets of MinHash bands, where
+    a pair at the threshold misses all with probability 5e-8; in a bucket of any
+    size every link is found, see :func:`_linked`, and confirmed on the full sets,
+    read again from the texts of the nodes that share a bucket. Repeated rows get
+    equal results.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     marks = ["c1", "c2", "n"]
@@ -232,7 +336,8 @@ def near_groups(
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = cut_lineage(buckets.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     met = cut_lineage(buckets.join(shared.hint("merge"), "key"))  # plain tables: a hot bucket can be split
-    members = cut_lineage(met.join(met.groupBy("node").agg(F.sum("m").alias("degree")), "node").select("key", "node", "degree"))
+    degrees = met.groupBy("node").agg(F.sum("m").alias("degree")).join(nodes.select("node", "n"), "node")
+    members = cut_lineage(met.join(degrees, "node").select("key", "node", "degree", "n"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(*marks, "node")
     wanted = cut_lineage(wanted)
     again = sieve(_described(rows, size, True), wanted, "c1")
