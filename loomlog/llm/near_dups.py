@@ -216,8 +216,9 @@ def _difference_buckets(groups: DataFrame, links: _Links) -> DataFrame:
     |x| - D * o + 100 * |c|. Two nodes x and y are linked only if they share K =
     (k(x) + k(y) - (100 - percent) * |c|) / D or more of their differences from c,
     which are the shingles that x has and c has not, and the other way round. K is
-    above zero unless both are linked with c. So, with the differences in an
-    order that all nodes agree on, a linked pair has a common one among the first
+    above zero unless both are linked with c. Differences that no other node of the
+    group has cannot be shared; with the others in an order that all nodes agree
+    on, the rarest first, a linked pair has a common one among the first
     |differences| - K + 1 of each (prefix filter). What most of a family has in
     common cancels out; what is left tells its close pairs apart, and no pair that
     may be linked is lost. Nodes of the centre's own component need to meet the
@@ -227,21 +228,25 @@ def _difference_buckets(groups: DataFrame, links: _Links) -> DataFrame:
     node = links.sets.select("node", F.col("shingles").alias("x"))
     centre = links.sets.select(F.col("node").alias("c"), F.col("shingles").alias("s"))
     rooted = _rooted(_rooted(groups, links.roots), links.roots, "c", "centre_root")
-    apart = rooted.join(node, "node").join(centre, "c").select(
+    met = cut_lineage(rooted.join(node, "node").join(centre, "c").select(
         "c", "node", "degree", "n", (F.col("root") == F.col("centre_root")).alias("near"), F.size("s").cast("long").alias("size"),
-        F.concat(F.array_sort(F.array_except("x", "s")), F.array_sort(F.array_except("s", "x"))).alias("apart"),
-        (percent * F.size("x") - whole * F.size(F.array_intersect("x", "s")) + 100 * F.size("s")).cast("long").alias("k"))
-    apart = cut_lineage(apart)
-    least = apart.groupBy("c").agg(
+        F.concat(F.array_except("x", "s"), F.array_except("s", "x")).alias("apart"),
+        (percent * F.size("x") - whole * F.size(F.array_intersect("x", "s")) + 100 * F.size("s")).cast("long").alias("k")))
+    least = met.groupBy("c").agg(
         F.min(F.when(~F.col("near"), F.col("k"))).alias("far_k"), F.min(F.when(F.col("near"), F.col("k"))).alias("near_k"))
-    rows = apart.join(cut_lineage(least.filter("far_k is not null")), "c")
+    least = cut_lineage(least.filter("far_k is not null"))
+    each = cut_lineage(met.join(least.select("c"), "c").select("c", "node", F.explode("apart").alias("e")))
+    seen = each.groupBy("c", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    # differences that others have, too, the rarest first; those of one node alone come before and meet nobody
+    common = each.join(cut_lineage(seen), ["c", "e"]).groupBy("c", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("common"))
+    rows = cut_lineage(met.join(least, "c").join(common, ["c", "node"]))
 
     def prefixes(which: Column, other: str, kind: int) -> DataFrame:
         shared = F.greatest(F.lit(1), F.ceil((F.col("k") + F.col(other) - (100 - percent) * F.col("size")) / whole).cast("int"))
-        first = (F.size("apart") - shared + 1).cast("int")
+        first = (F.size("common") - shared + 1).cast("int")
         chosen = rows.filter(which & F.col(other).isNotNull()).filter(first > 0)
         return chosen.select(
-            F.explode(F.slice("apart", F.lit(1), first)).alias("e"), "c", "node", "degree", "n", "near").select(
+            F.explode(F.slice(F.col("common")["e"], F.lit(1), first)).alias("e"), "c", "node", "degree", "n", "near").select(
             F.xxhash64("c", "e", F.lit(kind)).alias("key"), F.lit(kind).alias("kind"), "node", "degree", "n", "near")
 
     near, far = F.col("near"), ~F.col("near")
@@ -249,8 +254,12 @@ def _difference_buckets(groups: DataFrame, links: _Links) -> DataFrame:
     across = prefixes(near, "far_k", 1).unionByName(prefixes(far, "near_k", 1))
     held = cut_lineage(among.unionByName(across).distinct())
     # buckets of the second kind are for pairs with a node of the centre's component
-    kinds = held.groupBy("key").agg(F.max("kind").alias("kind"), F.max("near").alias("near"), F.min("near").alias("all_near"), F.count("*").alias("m"))
+    kinds = held.groupBy("key").agg(
+        F.max("kind").alias("kind"), F.max("near").alias("near"), F.min("near").alias("all_near"), F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"))
     useful = kinds.filter((F.col("m") > 1) & ~F.col("all_near") & ((F.col("kind") == 0) | F.col("near")))
+    # of buckets with the same members, told by their number and 128 bits of their hashes, one is enough
+    useful = useful.groupBy("m", "one", "two").agg(F.min("key").alias("key"))
     return held.drop("kind", "near").join(cut_lineage(useful.select("key")).hint("merge"), "key")
 
 
