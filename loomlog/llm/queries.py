@@ -49,7 +49,7 @@ def token_documents(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
-    write_token_files(docs.select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50257)
+    write_token_files(docs.select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_documents(spark, path).withColumnRenamed("id", "doc_id")
 
 

@@ -6,6 +6,7 @@ import os
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from loomlog.llm.words import slices
 
 BLOCK_TOKENS = 1 << 17
 LANES = 64
+TOGETHER = 512  # pieces that are encoded as one text
+REMEMBERED = 400_000  # pieces that a worker process keeps; they change no result
 
 
 def id_bits(vocabulary: int) -> int:
@@ -60,63 +63,120 @@ def unpack_ids(data: bytes, count: int, bits: int, start: int = 0) -> np.ndarray
     return (out.ravel()[start - begin : need] & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def _encoder(path: str):
-    """The tokenizer and its memory of pieces, kept for the life of a worker process."""
-    store = sys.modules.setdefault("_loomlog_encoders", types.ModuleType("_loomlog_encoders"))
-    if not hasattr(store, path):
+class _Encoder:
+    """A tokenizer and the ids of the pieces it has met, in two flat arrays."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # their names in a text are ordinary text
-        setattr(store, path, (made, {}))
+        self.made = Tokenizer.from_file(path)
+        added = self.made.get_added_tokens_decoder()
+        plain = [t for t in added.values() if not (t.lstrip or t.rstrip or t.single_word) and " " not in t.content]
+        #: a token of its own that stands between pieces: no piece can grow over it
+        self.mark_id, self.mark = next(((i, t.content) for i, t in sorted(added.items()) if t in plain and t.special), (None, None))
+        self.cuts = self.mark is not None and len(plain) == len(added)
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def _add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        for place, piece in enumerate(pieces, len(self.places)):
+            self.places[piece] = place
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.ends.frombytes((np.cumsum(sizes, dtype=np.int64) + self.ends[-1]).tobytes())
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.made.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in one text with marks between them."""
+        holding = [p for p in pieces if self.mark in p]
+        rest = [p for p in pieces if self.mark not in p] if holding else pieces
+        for begin in range(0, len(rest), TOGETHER):
+            some = rest[begin : begin + TOGETHER]
+            ids = self._ids(self.mark.join(some))
+            marks = np.flatnonzero(ids == self.mark_id)
+            edges = np.concatenate([[-1], marks, [len(ids)]])
+            self._add(some, np.diff(edges) - 1, np.delete(ids, marks))
+        for piece in holding:  # the text of the mark itself
+            ids = self._ids(piece)
+            self._add([piece], np.array([len(ids)]), ids)
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """Place of every piece; unknown ones are encoded first."""
+        found = np.array([self.places.get(p, -1) for p in pieces], np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            known = len(self.places)
+            new = [pieces[i] for i in missing.tolist()]
+            self.learn(new)
+            found[missing] = [self.places[p] for p in new] if any(self.mark in p for p in new) else known + np.arange(len(new))
+        return found
+
+
+def _encoder(path: str) -> _Encoder:
+    """Kept for the life of a worker process."""
+    store = sys.modules.setdefault("_loomlog_encoders", types.ModuleType("_loomlog_encoders"))
+    if not hasattr(store, path):
+        setattr(store, path, _Encoder(path))
     return getattr(store, path)
 
 
-def encode_texts(texts: pa.Array, path: str, remembered: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, ids) of whole texts; null is empty.
+def encode_texts(texts: pa.Array, path: str, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, ids) of whole texts as the tokenizer's own settings give them; null is empty.
 
     A byte-level tokenizer never joins a space to what stands before it unless
     that is white space, so a text whose spaces all follow other characters is
-    cut before each of them, and a piece is encoded once and then remembered (up to
-    ``remembered`` pieces per process). Any other text is encoded in one go.
+    cut before each of them, and a piece is encoded once and then remembered, until
+    more than ``remembered`` are; then all are forgotten. Any other text is encoded
+    in one go, and so are all if an added token takes in white space around it.
     """
-    made, memory = _encoder(path)
+    coder = _encoder(path)
+    if len(coder.places) > remembered:
+        coder.forget()
     texts = pc.fill_null(texts, "")
-    whole = pc.match_substring_regex(texts, r"[\s\p{Z}\x{85}\x0b\x1c-\x1f] |^ ").to_numpy(zero_copy_only=False)
+    if coder.cuts:
+        whole = pc.match_substring_regex(texts, r"[\s\p{Z}\x{85}\x0b\x1c-\x1f] |^ ").to_numpy(zero_copy_only=False)
+    else:
+        whole = np.ones(len(texts), bool)
     cut = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
     flat = cut.flatten()
     edges = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
     opening = np.zeros(len(flat), bool)
     opening[edges[:-1][np.diff(edges) > 0]] = True
     pieces = pc.if_else(pa.array(opening), flat, pc.binary_join_element_wise("", flat, " ")).dictionary_encode()
-    names = pieces.dictionary.to_pylist()
-    missing = [w for w in names if w not in memory]
-    fresh = dict(zip(missing, (np.array(e.ids, np.uint32) for e in made.encode_batch_fast(missing, add_special_tokens=False))))
-    known = [memory[w] if w in memory else fresh[w] for w in names]
-    for word in missing[: max(0, remembered - len(memory))]:
-        memory[word] = fresh[word]
-    sizes = np.array([len(k) for k in known], np.int64)
-    values = np.concatenate([*known, np.empty(0, np.uint32)])
-    begins = np.cumsum(sizes) - sizes
+    if coder.cuts:
+        known = coder.numbers(pieces.dictionary.to_pylist())
+    else:
+        known = np.zeros(len(pieces.dictionary), np.int64)  # there are only empty ones
+    ends, values = np.frombuffer(coder.ends, np.int64), np.frombuffer(coder.ids, np.uint32) if len(coder.ids) else np.empty(0, np.uint32)
+    begins = ends[known] if coder.cuts else known
+    sizes = ends[known + 1] - begins if coder.cuts else known
     at = pieces.indices.to_numpy()
     taken = sizes[at]
-    ends = np.concatenate([[0], np.cumsum(taken)])
-    ids = values[np.repeat(begins[at] - ends[:-1], taken) + np.arange(ends[-1])]
-    lengths = ends[edges[1:]] - ends[edges[:-1]]
+    stops = np.concatenate([[0], np.cumsum(taken)])
+    ids = values[np.repeat(begins[at] - stops[:-1], taken) + np.arange(stops[-1])]
+    del ends, values  # the arrays can grow again
+    lengths = stops[edges[1:]] - stops[edges[:-1]]
     if whole.any():
         parts = np.split(ids, np.cumsum(lengths)[:-1])
         rows = np.flatnonzero(whole)
-        coded = made.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+        coded = coder.made.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
         for row, code in zip(rows, coded):
             parts[row] = np.array(code.ids, np.uint32)
-        lengths, ids = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
+        lengths, ids = np.array([len(p) for p in parts], np.int64), np.concatenate([*parts, np.empty(0, np.uint32)])
     return lengths, ids
 
 
 def _block(part: int, number: int, keys: list, lengths: list, ids: list, bits: int, schema: pa.Schema) -> pa.RecordBatch:
     stream = np.concatenate(ids)
-    columns = [[part], [number], [keys], [lengths], [len(stream)], [bits], [pack_ids(stream, bits)]]
+    if int(stream.max()) >> bits:
+        raise ValueError(f"the tokenizer gave id {int(stream.max())}, which {bits} bits do not hold")
+    sizes = np.concatenate(lengths)
+    columns = [[part], [number], [[k for some in keys for k in some]], [sizes], [len(stream)], [bits], [pack_ids(stream, bits)]]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
@@ -133,12 +193,17 @@ def _packer(path: str, end_id: int, bits: int, key_type: pa.DataType, block_toke
         keys, lengths, ids, held = [], [], [], 0
         for batch in slices(batches, "text"):
             sizes, stream = encode_texts(batch.column("text"), path)
-            begin = 0
-            for key, size in zip(batch.column("id").to_pylist(), sizes.tolist()):
-                keys.append(key)
-                lengths.append(size + 1)
-                ids += [stream[begin : begin + size], np.array([end_id], np.uint32)]
-                begin, held = begin + size, held + size + 1
+            stream = np.insert(stream, np.cumsum(sizes), end_id)
+            sizes = sizes + 1
+            stops, names, row = np.cumsum(sizes), batch.column("id").to_pylist(), 0
+            while row < len(names):  # up to the document that fills the block
+                base = int(stops[row - 1]) if row else 0
+                upto = min(len(names), int(np.searchsorted(stops, base + block_tokens - held)) + 1)
+                keys.append(names[row:upto])
+                lengths.append(sizes[row:upto])
+                ids.append(stream[base : int(stops[upto - 1])])
+                held += len(ids[-1])
+                row = upto
                 if held >= block_tokens:
                     yield _block(part, number, keys, lengths, ids, bits, schema)
                     number, keys, lengths, ids, held = number + 1, [], [], [], 0
@@ -148,12 +213,23 @@ def _packer(path: str, end_id: int, bits: int, key_type: pa.DataType, block_toke
     return run
 
 
+def vocabulary_size(tokenizer: str) -> int:
+    """One more than the greatest id the tokenizer can give."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int = 0, key: str = "doc_id",
+    docs: DataFrame, path: str, tokenizer: str, vocabulary: int | None = None, end_id: int = 0, key: str = "doc_id",
     text: str = "text", block_tokens: int = BLOCK_TOKENS,
 ) -> None:
     """Encode ``text`` and write packed blocks under ``path``, documents in ascending key order.
 
+    ``vocabulary`` is the tokenizer's own unless it is given; an id that does not
+    fit raises. Strings of special tokens inside a text are taken as the tokenizer
+    takes them by default.
+
     ``path/blocks`` holds rows of part, block, the keys and token counts of whole
     documents, and their ids at the fewest bits the vocabulary needs; a block ends
     with the document that fills ``block_tokens``. ``path/starts`` has the number
@@ -175,7 +251,7 @@ def write_token_files(
     names = ["id", "_tie", "_row"]
     keyed = rows.withColumns({n: c for n, c in zip(names[1:], order[1:])})
     sort = [order[0], F.col("_tie"), F.col("_row")]
-    run = _packer(tokenizer, end_id, id_bits(vocabulary), to_arrow_type(kind), block_tokens)
+    run = _packer(tokenizer, end_id, id_bits(vocabulary or vocabulary_size(tokenizer)), to_arrow_type(kind), block_tokens)
     placed = keyed.repartitionByRange(*sort).sortWithinPartitions(*sort).select("id", "text")
     placed.mapInArrow(run, schema).write.mode("overwrite").parquet(f"{path}/blocks")
     blocks = docs.sparkSession.read.schema(schema).parquet(f"{path}/blocks").select("part", "block", "n_tokens")
@@ -218,3 +294,54 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     rows = blocks.mapInArrow(_unpacker(to_arrow_schema(schema)), schema)
     starts = spark.read.parquet(f"{path}/starts").select("part", "block", F.col("start").alias("base"))
     return rows.join(starts, ["part", "block"]).select("id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _ranger(start: int, count: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                base, size, bits, data = (batch.column(c)[row].as_py() for c in ("start", "n_tokens", "bits", "payload"))
+                first, last = max(start - base, 0), min(start + count - base, size)
+                ids = unpack_ids(data, last - first, bits, first)
+                yield pa.RecordBatch.from_arrays([pa.array([base + first]), pa.array([ids.tolist()], pa.list_(pa.int64()))], schema=schema)
+
+    return run
+
+
+def read_range(spark: SparkSession, path: str, start: int, count: int) -> DataFrame:
+    """(start, ids): the ids from place ``start`` of the whole stream, ``count`` of them, in pieces by block.
+
+    The table of block starts tells which blocks are needed; only their rows are
+    looked up, and of each only the bytes between its first and last id asked for
+    are unpacked. Places outside the stream have no ids.
+    """
+    starts = spark.read.parquet(f"{path}/starts").filter((F.col("start") < start + count) & (F.col("start") + F.col("n_tokens") > start))
+    blocks = spark.read.parquet(f"{path}/blocks").select("part", "block", "bits", "payload")
+    bounds = starts.agg(F.min("part").alias("a"), F.max("part").alias("b")).first()
+    if bounds.a is None:
+        return spark.createDataFrame([], "start long, ids array<long>")
+    near = blocks.filter(F.col("part").between(bounds.a, bounds.b))  # reaches the files
+    schema = pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
+    return near.join(starts, ["part", "block"]).select("start", "n_tokens", "bits", "payload").mapInArrow(
+        _ranger(start, count, schema), "start long, ids array<long>")
+
+
+def read_document(spark: SparkSession, path: str, key) -> DataFrame:
+    """(start, ids) of the documents with this key, end id included, found by the keys of the blocks."""
+    blocks = spark.read.parquet(f"{path}/blocks").filter(F.array_contains("keys", F.lit(key)))
+    starts = spark.read.parquet(f"{path}/starts").select("part", "block", "start")
+    rows = blocks.join(starts, ["part", "block"]).select("start", "keys", "lengths", "bits", "payload")
+    schema = pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                base, keys, lengths, bits, data = (c[row].as_py() for c in batch.columns)
+                ends = np.cumsum(lengths).tolist()
+                for name, size, end in zip(keys, lengths, ends):
+                    if name == key:
+                        ids = unpack_ids(data, size, bits, end - size)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([base + end - size]), pa.array([ids.tolist()], pa.list_(pa.int64()))], schema=schema)
+
+    return rows.mapInArrow(run, "start long, ids array<long>")
