@@ -14,7 +14,9 @@ from loomlog.llm.decontamination import contaminations, simhash, weighted
 from loomlog.llm.importance import resample
 from loomlog.llm.language import family_of, identify
 from loomlog.llm.near_dups import near_groups, sketches, smallest_reachable
-from loomlog.llm.token_files import encode_texts, id_bits, pack_ids, read_documents, unpack_ids, write_token_files
+from loomlog.llm import token_files as tf
+from loomlog.llm.token_files import (
+    encode_texts, id_bits, pack_ids, read_document, read_documents, read_range, unpack_ids, write_token_files)
 from loomlog.llm.words import shingle_hashes, split_words
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -31,9 +33,7 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return path, made
+    return path, Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 24, 31, 32])
@@ -53,6 +53,7 @@ def test_pieces_encode_like_whole_texts(tokenizer):
     path, made = tokenizer
     odd = ["", " ", "  ", " a", "a  b", "a   b", "a \n b", "a\n\n  b", "x\x1c y", "x  y", "x  y", "tab\t b", "a ",
            "\n", "it's  we'll 'd", "é ü 12 34!! ??", None, "<|endoftext|> x", "a\u0085 b", "a​ b", "a\x00 b", "日本 語"]
+    odd += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", " <|endoftext|>  <|endoftext|>", "<|endof text|>", "a <|endoftext|>"]
     for remembered in (0, 10):
         lengths, ids = encode_texts(pa.array(odd), path, remembered)
         ends = np.cumsum(lengths)
@@ -81,6 +82,52 @@ def test_token_files_of_odd_rows(spark, odd_docs, tokenizer, tmp_path):
     assert read_documents(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [None, 70_000])
+def test_ranges_and_documents_by_offsets(spark, documents, tokenizer, tmp_path, vocabulary):
+    """At 16 and at 17 bits; the ranges cross documents, blocks and parts."""
+    path = f"file://{tmp_path}/r"
+    docs = spark.createDataFrame(documents[["doc_id", "text"]]).repartition(5)
+    write_token_files(docs, path, tokenizer[0], vocabulary, block_tokens=500)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert {r.bits for r in blocks.select("bits").distinct().collect()} == {16 if vocabulary is None else 17}
+    made = {r.doc_id: tokenizer[1].encode(r.text, add_special_tokens=False).ids + [0] for r in documents.itertuples()}
+    stream = [i for key in sorted(made) for i in made[key]]
+    rng = np.random.default_rng(0)
+    for start, count in [(0, 1), (0, 0), (len(stream) - 3, 10), (len(stream), 5), (-4, 9)] + [
+            (int(s), int(n)) for s, n in zip(rng.integers(0, len(stream), 4), rng.integers(1, 5000, 4))]:
+        pieces = sorted(tuple(r) for r in read_range(spark, path, start, count).collect())
+        got = [i for _, ids in pieces for i in ids]
+        assert got == stream[max(0, start) : max(0, start + count)]
+        assert not pieces or pieces[0][0] == max(0, start)
+    plan = read_range(spark, path, 700, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(part" in plan
+    key = int(documents.doc_id[17])
+    assert [r.ids for r in read_document(spark, path, key).collect()] == [made[key]]
+    assert read_document(spark, path, -1).count() == 0
+
+
+def test_ids_that_do_not_fit_raise(tokenizer):
+    run = tf._packer(tokenizer[0], 0, 8, pa.int64(), 100)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some ordinary words"])], ["id", "text"])
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        partitionId = staticmethod(lambda: 0)
+
+    import pyspark
+
+    kept, pyspark.TaskContext = pyspark.TaskContext, Context
+    try:
+        with pytest.raises(ValueError, match="8 bits"):
+            list(run(iter([batch])))
+    finally:
+        pyspark.TaskContext = kept
+    assert tf.vocabulary_size(tokenizer[0]) == 50257
+
+
 def test_near_query(spark, documents):
     got = {r.doc_id: r for r in q.op7_near_copies(spark, SF_DIR).collect()}
     want = near_components(zip(documents.doc_id, documents.text), 4)
@@ -176,7 +223,6 @@ def test_quality(spark, odd_docs):
     got = q.op5_importance_resampling(spark, sf).toPandas()
     known = got.merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
     assert len(got) == 1000 and known[known.quality == 0].kept.mean() < 0.03 and known[known.quality == 1].kept.mean() > 0.99
-    assert got.kept.sum() == (got.log_weight > -6).sum()
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = resample(odd_docs, empty).collect()
     assert sum(r._kept for r in rows) == 10 and all(r._log_weight == 0 for r in rows) and "kept" in rows[0]
