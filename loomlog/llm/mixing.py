@@ -66,9 +66,14 @@ def mix(
     allows, then documents in order until the words reach the rounded-down
     target, the last one in part. Equal keys are settled by row. Null sizes count
     as 0, a null source is a source; sources without words have target 0. The
-    empty table gives no rows. ``docs`` may hold any other columns; names
-    starting with an underscore are reserved.
+    empty table gives no rows. ``docs`` may hold any other columns; source_size,
+    target and taken among them are replaced by the results, and names starting
+    with an underscore are reserved. None of the three may be the key, source or size.
     """
+    results = ["source_size", "target", "taken"]
+    if set(results) & {key, source, size}:
+        raise ValueError(f"{results} are names of results")
+    docs = docs.drop(*results)
     order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
     rows = numbered(docs.withColumn("_key", order))
     sizes = rows.groupBy(F.col(source).alias("source")).agg(

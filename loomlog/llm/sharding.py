@@ -127,8 +127,9 @@ def shuffle_into_shards(
     partition go to each shard, and the next positions of the permutation go
     there. After the exchange a second random order, counted over pieces, gives
     the slots, so no shard has to fit a task. Every row counts, repeated ones
-    too; nulls do not matter; the empty table gives no rows. Columns whose name
-    starts with an underscore are reserved.
+    too; nulls do not matter; the empty table gives no rows. Columns of the input that
+    are called like the two results are replaced; names that start with an
+    underscore are reserved.
     """
     local = df.withColumn("_first", F.rand(seed)).sortWithinPartitions("_first")
     place = F.monotonically_increasing_id()  # partition number, then position in it
