@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from loomlog.llm.running import uniform
 from loomlog.llm.words import mix, slices, split_words
+from loomlog.sources.tables import cut_lineage
 
 FEATURES = 4096
-PER_LANGUAGE = 400
+PER_LANGUAGE, TAUGHT = 400, 3200  # sampled texts of a language, and of all together
 SHORT = 5  # words of the short example that goes with each sampled text
 
 # fixed values: families of ISO 639-1 codes; a language not listed is a family of its own
@@ -121,7 +122,7 @@ def fit(langs: np.ndarray, counts: np.ndarray):
         for a, b in combinations(members, 2):
             rows = (langs == a) | (langs == b)
             pairs.append((a, b, train(rows, langs[rows] == a)))
-    return np.array(columns, np.float64).reshape(len(columns), -1).T, families, pairs
+    return np.array(columns, np.float64).reshape(len(columns), x.shape[1] + 1).T, families, pairs
 
 
 def decide(margins: np.ndarray, families, pairs) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +185,10 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """One row per document: ``key``, held_out, lang_pred, score.
 
     The model learns from about ``PER_LANGUAGE`` texts of each known language
-    that are not held out, chosen by hash; that bounds the rows that reach the driver
-    by the number of languages. Prediction reads whole texts and nothing else: sums
+    that are not held out, chosen by hash, and from about ``TAUGHT`` of all languages
+    together; that bounds the rows that reach the driver, whatever the number of
+    languages. A language that no family lists is a family of its own, and one
+    language alone is predicted for every text with letters. Prediction reads whole texts and nothing else: sums
     of n-gram weights per word, computed once per distinct word. Texts that are
     null or have no letter are ``und`` with score 0, and so is everything when
     there is nothing to learn from. Rows with a null key, null language or
@@ -193,9 +196,11 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
         F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rates = known.groupBy("lang").agg((F.lit(float(PER_LANGUAGE)) / F.count("*")).alias("rate"))
-    # a row per language, fewer than the texts the fit itself gathers: the texts need no shuffle
-    chosen = known.join(F.broadcast(rates), "lang").filter(uniform(seed, "id", F.xxhash64("text")) < F.col("rate")).select("lang", "text")
+    # written, so that a list of usual length is sent to the texts and one of any length can be merged with them
+    sizes = cut_lineage(known.groupBy("lang").agg(F.count("*").alias("n")))
+    share = min(float(PER_LANGUAGE), TAUGHT / max(1, sizes.count()))
+    rates = sizes.select("lang", (F.lit(share) / F.col("n")).alias("rate"))
+    chosen = known.join(rates, "lang").filter(uniform(seed, "id", F.xxhash64("text")) < F.col("rate")).select("lang", "text")
     taught = chosen.mapInArrow(_examples, "lang string, counts binary").toArrow()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()),
