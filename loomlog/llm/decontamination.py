@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomlog.llm.running import numbered
 from loomlog.llm.words import hash_dictionary, mix, shingle_hashes, slices, split_words
 
 SIZE, PERCENT = 5, 80
@@ -137,10 +138,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     the first, is reported. Words are cut at ASCII white space, in lower case
     ASCII. Items and texts without words match nothing; an item of fewer than
     five words is one shingle. Null keys are reported as one document; repeated
-    items give a row each if their ids differ.
+    items give a row each if their ids differ; ids may be of any type, and an id
+    with several texts is found where one of them is.
     """
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    named = numbered(benchmark.select(F.col("item_id").alias("name"), F.col("text").cast("string").alias("text")).distinct(), "id")
+    items = named.select("id", "text")  # told apart by numbers: names may be of any type, and may repeat
     listed = items.mapInArrow(_items, "item long, words long, print long, shingles array<long>")
     lengths = sorted(r.words for r in listed.select("words").distinct().collect())
     from pyspark.sql.pandas.types import to_arrow_type
@@ -168,7 +171,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
         F.col("distance") <= RADIUS)
     found = met.join(grams, "item").withColumn("common", common).withColumn("union", union).filter(
         F.col("common") * 100 >= F.col("union") * PERCENT)
-    best = F.min(F.struct((-F.col("common") / F.col("union")).alias("s"), "start", "distance"))
-    return found.groupBy("id", "item").agg(F.first("words").alias("words"), best.alias("b")).select(
-        F.col("id").alias(key), F.col("item").alias("item_id"), F.col("b.start").alias("start"), "words",
+    best = F.min(F.struct((-F.col("common") / F.col("union")).alias("s"), "start", "distance", "words"))
+    called = named.select(F.col("id").alias("item"), F.col("name").alias("item_id"))
+    return found.join(called, "item").groupBy("id", "item_id").agg(best.alias("b")).select(
+        F.col("id").alias(key), "item_id", F.col("b.start").alias("start"), F.col("b.words").alias("words"),
         F.col("b.distance").alias("distance"), (-F.col("b.s")).alias("similarity"))
