@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +11,26 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TEXT_BYTES = 4 << 20
+GIVE_BACK = 32 << 20
+
+
+def give_back() -> None:
+    """Return memory that is free inside this worker process to the machine, where the platform can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text; a longer text comes alone."""
+    """The same rows in batches of about ``limit`` bytes of text; a longer text comes alone.
+
+    Workers live on from task to task, and what one stage has used must not stand
+    in the way of the next: memory goes back after ``GIVE_BACK`` bytes of text and
+    at the end.
+    """
+    seen = 0
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes, dtype=np.int64)
@@ -22,7 +39,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = TEXT_BYT
             base = total[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(total, base + limit, "right")))
             yield batch.slice(begin, end - begin)
+            seen += int(total[end - 1] - base)
             begin = end
+        if seen >= GIVE_BACK:
+            seen = 0
+            give_back()
+    give_back()
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
