@@ -15,7 +15,7 @@ from loomlog.llm.words import hash_dictionary, mix, shingle_hashes, slices, spli
 from loomlog.sources.tables import cut_lineage
 
 BINS, ROWS = 128, 4  # 32 bands of 4 rows: a pair at similarity 0.8 misses all with probability 5e-8
-DIRECT = 64  # members of a bucket that are compared pair by pair; more go by their differences from a centre
+DIRECT = 128  # members of a bucket that are compared pair by pair; more go by their differences from a centre
 SIEVE_BITS = (16, 26)  # least and greatest size of the first filter; its fill follows from the number of sets
 
 
@@ -168,7 +168,9 @@ def _rooted(rows: DataFrame, roots: DataFrame | None, name: str = "node", out: s
 
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members, with their roots, of the buckets that still hold nodes of several components."""
-    placed = cut_lineage(_rooted(members.drop("root"), roots))
+    placed = _rooted(members.drop("root"), roots)
+    if roots is not None:
+        placed = cut_lineage(placed)
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"))
     mixed = cut_lineage(mixed.filter("low < high").select("key", "m"))
     return cut_lineage(placed.drop("m").join(mixed.hint("merge"), "key"))
@@ -216,8 +218,8 @@ def _difference_buckets(groups: DataFrame, links: _Links) -> DataFrame:
     |x| - D * o + 100 * |c|. Two nodes x and y are linked only if they share K =
     (k(x) + k(y) - (100 - percent) * |c|) / D or more of their differences from c,
     which are the shingles that x has and c has not, and the other way round. K is
-    above zero unless both are linked with c. Differences that no other node of the
-    group has cannot be shared; with the others in an order that all nodes agree
+    above zero unless both are linked with c. Differences that only nodes of one
+    component have link no further pair; with the others in an order that all nodes agree
     on, the rarest first, a linked pair has a common one among the first
     |differences| - K + 1 of each (prefix filter). What most of a family has in
     common cancels out; what is left tells its close pairs apart, and no pair that
@@ -229,15 +231,16 @@ def _difference_buckets(groups: DataFrame, links: _Links) -> DataFrame:
     centre = links.sets.select(F.col("node").alias("c"), F.col("shingles").alias("s"))
     rooted = _rooted(_rooted(groups, links.roots), links.roots, "c", "centre_root")
     met = cut_lineage(rooted.join(node, "node").join(centre, "c").select(
-        "c", "node", "degree", "n", (F.col("root") == F.col("centre_root")).alias("near"), F.size("s").cast("long").alias("size"),
+        "c", "node", "degree", "n", "root", (F.col("root") == F.col("centre_root")).alias("near"), F.size("s").cast("long").alias("size"),
         F.concat(F.array_except("x", "s"), F.array_except("s", "x")).alias("apart"),
         (percent * F.size("x") - whole * F.size(F.array_intersect("x", "s")) + 100 * F.size("s")).cast("long").alias("k")))
     least = met.groupBy("c").agg(
         F.min(F.when(~F.col("near"), F.col("k"))).alias("far_k"), F.min(F.when(F.col("near"), F.col("k"))).alias("near_k"))
     least = cut_lineage(least.filter("far_k is not null"))
-    each = cut_lineage(met.join(least.select("c"), "c").select("c", "node", F.explode("apart").alias("e")))
-    seen = each.groupBy("c", "e").agg(F.count("*").alias("df")).filter("df > 1")
-    # differences that others have, too, the rarest first; those of one node alone come before and meet nobody
+    each = cut_lineage(met.join(least.select("c"), "c").select("c", "node", "root", F.explode("apart").alias("e")))
+    seen = each.groupBy("c", "e").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    seen = seen.filter("low < high").select("c", "e", "df")
+    # differences that nodes of several components have, the rarest first; no other can join two of them
     common = each.join(cut_lineage(seen), ["c", "e"]).groupBy("c", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("common"))
     rows = cut_lineage(met.join(least, "c").join(common, ["c", "node"]))
 
