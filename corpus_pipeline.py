@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and all but the last return the columns
 of ``docs``. Rows are told apart by id, those with a null or repeated id by a
 number of their own, so these, repeated rows and further columns pass through;
 column names that start with an underscore are reserved. Decisions are made on
-narrow tables and meet the texts once, at the end of a stage: no stage stores a
-copy of them. An empty table stays empty.
+narrow tables and meet the texts once, at the end of a stage; only :func:`run`
+stores texts, those that each stage keeps. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that importance resampling draws; texts without words go."""
+    """Keeps the documents that importance resampling draws, as many as the labels make
+    one expect to be of quality; texts without words go."""
     rows = identified(docs)
     drawn = resample(rows, read_table(spark, f"{sf_dir}/labels.parquet"), carried=["doc_id", "_same"])
     return without(rows, drawn.filter(~F.col("_kept"))).select(*docs.columns)
