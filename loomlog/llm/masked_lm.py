@@ -18,7 +18,7 @@ SIDES = (-2, -1, 1, 2)
 SHAPES = {"embed": (len(SIDES), TOKENS + 1, WIDTH), "bias": (WIDTH,), "top": (WIDTH + 1, CLASSES),
           "low": (CLASSES, WIDTH + 1, INSIDE)}
 BATCH = 1 << 14
-MASKED = 0.15
+PLACES = 1 << 18  # tokens whose surroundings are held at once
 
 
 def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,22 +104,22 @@ def train_step(model: dict, memory: dict, around: np.ndarray, tokens: np.ndarray
 
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trains on masked places of every text of the task; returns (place in the model, value, weight)."""
+    """Trains on every token of every text of the task, each masked once; returns (place in the model, value, weight)."""
     model = start_model()
     memory = {n: np.full(s, 1e-6, np.float32) for n, s in SHAPES.items()}
     held, seen = [], 0
     for batch in slices(batches, "text"):
         offsets, tokens = token_stream(batch.column("text"))
-        draw = mix(np.arange(len(tokens), dtype=np.uint64) ^ mix(tokens.astype(np.uint64), 9), 10)
-        at = np.flatnonzero(draw < np.uint64(int(MASKED * 2**64)))
-        held.append((contexts(offsets, tokens, at), tokens[at]))
-        if sum(len(t) for _, t in held) >= BATCH:
-            around, want = np.concatenate([a for a, _ in held]), np.concatenate([t for _, t in held])
-            shuffled = np.random.default_rng(len(want)).permutation(len(want))
-            for begin in range(0, len(want), BATCH // 4):
-                rows = shuffled[begin : begin + BATCH // 4]
-                train_step(model, memory, around[rows], want[rows])
-            seen, held = seen + len(want), []
+        for first in range(0, len(tokens), PLACES):
+            at = np.arange(first, min(len(tokens), first + PLACES))
+            held.append((contexts(offsets, tokens, at), tokens[at]))
+            if sum(len(t) for _, t in held) >= BATCH:
+                around, want = np.concatenate([a for a, _ in held]), np.concatenate([t for _, t in held])
+                shuffled = np.random.default_rng(len(want)).permutation(len(want))
+                for begin in range(0, len(want), BATCH // 4):
+                    rows = shuffled[begin : begin + BATCH // 4]
+                    train_step(model, memory, around[rows], want[rows])
+                seen, held = seen + len(want), []
     for around, want in held:
         if len(want):
             train_step(model, memory, around, want)
@@ -133,8 +133,8 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
     """The mean of the models that the tasks train from one start, weighted by tokens.
 
-    Every document takes part with 15 % of its tokens masked, at places fixed by
-    hash. The models are averaged by a grouping over their numbers, so what moves
+    Every document takes part with all its tokens, each masked in its turn and
+    predicted from its neighbours. The models are averaged by a grouping over their numbers, so what moves
     grows with the corpus and the result has the size of one model.
     """
     rows = docs.select(F.col(text).cast("string").alias("text"))
@@ -154,8 +154,8 @@ def _scorer(model: dict):
         for batch in slices(batches, "text"):
             offsets, tokens = token_stream(batch.column("text"))
             found = np.empty(len(tokens))
-            for begin in range(0, len(tokens), 1 << 18):
-                at = np.arange(begin, min(len(tokens), begin + (1 << 18)))
+            for begin in range(0, len(tokens), PLACES):
+                at = np.arange(begin, min(len(tokens), begin + PLACES))
                 found[at] = log_probabilities(model, contexts(offsets, tokens, at), tokens[at])
             sums = np.concatenate([[0.0], np.cumsum(found)])
             total = sums[offsets[1:]] - sums[offsets[:-1]]

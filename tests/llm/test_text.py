@@ -268,3 +268,11 @@ def test_masked_gradient():
     for _ in range(30):
         lm.train_step(model, {n: np.full(lm.SHAPES[n], 1e-6, np.float32) for n in names}, around, want, 0.01)
     assert lm.log_probabilities(model, around, want).mean() > before + 0.3
+
+
+def test_every_token_trains_the_model():
+    """Each token of each text is a target once, in batches of any size."""
+    texts = ["a b c", None, "", "one two " * 9000, "x y z " * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    (got,) = lm._trainer(iter([batch]))
+    assert set(got.column("seen").to_pylist()) == {18303}
