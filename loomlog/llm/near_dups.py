@@ -15,7 +15,9 @@ from loomlog.llm.words import hash_dictionary, mix, shingle_hashes, slices, spli
 from loomlog.sources.tables import cut_lineage
 
 BINS, ROWS = 128, 4  # 32 bands of 4 rows: a pair at similarity 0.8 misses all with probability 5e-8
-DIRECT = 128  # members of a bucket that are compared pair by pair; more go by their differences from a centre
+SIGN_WORDS = 256  # most 64-bit words of a sign; a larger set has fewer bits a shingle, and the sign rules out less
+DIRECT = 2048  # members of a bucket whose signs are compared pair by pair; more go by their differences from a centre
+CROWDED = 64  # possible pairs for each member of such a bucket; with more it goes by differences, too
 SIEVE_BITS = (16, 26)  # least and greatest size of the first filter; its fill follows from the number of sets
 
 
@@ -64,13 +66,26 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def parity_signs(lengths: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words per text, words): each shingle flips one of two to four bits a shingle, SIGN_WORDS words at the most.
+
+    Two signs differ in no more bits than their sets in shingles. Of signs of two sizes
+    the longer is folded: its halves xor to what half as many words would have held.
+    """
+    words = np.minimum(SIGN_WORDS, 1 << np.ceil(np.log2(np.maximum(1, lengths / 32))).astype(np.int64))
+    ends = np.concatenate([[0], np.cumsum(words * 64)])
+    spots = mix(flat, 13) & np.repeat((words * 64 - 1).astype(np.uint64), lengths)
+    flips = np.bincount(np.repeat(ends[:-1], lengths) + spots.astype(np.int64), minlength=int(ends[-1]))
+    return words, np.packbits((flips & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
     edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(edges), pa.array(values.view(np.int64)))
 
 
 def _describe(size: int, full: bool):
-    """Arrow mapper: (id, text) -> id, n, c1, c2 and the band keys, or the whole set if ``full``."""
+    """Arrow mapper: (id, text) -> id, n, c1, c2, the band keys and the sign, or the whole set if ``full``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -83,7 +98,9 @@ def _describe(size: int, full: bool):
                 keys = band_keys(sketches(lengths, flat))
                 last = _lists(np.where(lengths > 0, keys.shape[1], 0), keys[lengths > 0].ravel())
             columns = [batch.column("id"), pa.array(lengths), *marks, last]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c1", "c2", "shingles" if full else "bands"])
+            if not full:
+                columns.append(_lists(*parity_signs(lengths, flat)))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "c1", "c2", *(["shingles"] if full else ["bands", "sign"])])
 
     return run
 
@@ -92,7 +109,7 @@ def _described(docs: DataFrame, size: int, full: bool) -> DataFrame:
     schema = T.StructType([
         T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()),
         T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
-        T.StructField("shingles" if full else "bands", T.ArrayType(T.LongType())),
+        *[T.StructField(name, T.ArrayType(T.LongType())) for name in (["shingles"] if full else ["bands", "sign"])],
     ])
     return docs.mapInArrow(_describe(size, full), schema)
 
@@ -177,10 +194,22 @@ def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 class _Links:
-    """Pairs that were compared, and the components that the confirmed links make."""
+    """Pairs that were compared, and the components that the confirmed links make.
+
+    ``signs`` (node, sign) are looked at before the sets, see :func:`parity_signs`.
+    """
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent, self.tested, self.roots = sets, percent, None, None
+    def __init__(self, sets: DataFrame, percent: int, signs: DataFrame | None = None):
+        self.sets, self.percent, self.signs, self.tested, self.roots = sets, percent, signs, None, None
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b, na, nb), each once, that their signs do not rule out, as (a, b)."""
+        fresh = pairs.distinct()
+        if self.signs is not None:
+            for name in "ab":
+                fresh = fresh.join(self.signs.select(F.col("node").alias(name), F.col("sign").alias("s" + name)), name)
+            fresh = fresh.filter(_signs_allow("sa", "sb", F.col("na") + F.col("nb"), self.percent))
+        return fresh.select("a", "b")
 
     def compare(self, pairs: DataFrame) -> None:
         """Compare the pairs (a, b) on their full sets, each pair once in a run."""
@@ -188,6 +217,8 @@ class _Links:
         if self.tested is not None:
             fresh = fresh.join(self.tested, ["a", "b"], "left_anti")
         fresh = cut_lineage(fresh)
+        if fresh.isEmpty():
+            return
         links = cut_lineage(_similar(self.sets, fresh, self.percent))
         self.tested = fresh if self.tested is None else self.tested.union(fresh)
         if not links.isEmpty():
@@ -199,16 +230,90 @@ def _may_link(one: str, two: str, percent: int) -> Column:
     return F.least(one, two) * 100 >= F.greatest(one, two) * percent
 
 
-def _all_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components in buckets of up to ``DIRECT`` members."""
-    listed = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "n")).alias("list"))
+def _signs_allow(one, two, sizes: Column, percent: int) -> Column:
+    """Whether two signs allow an overlap of ``percent``: no more bits differ than shingles may,
+    which are (100 - percent) / (100 + percent) of both sizes together."""
+    one, two = (F.col(x) if isinstance(x, str) else x for x in (one, two))
+
+    def bits(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+
+    def folded(x, size):
+        return F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+
+    differ = F.when(F.size(one) == F.size(two), bits(one, two)).when(
+        F.size(one) == 2 * F.size(two), bits(folded(one, F.size(two)), two)).when(
+        F.size(two) == 2 * F.size(one), bits(one, folded(two, F.size(one)))).otherwise(0)
+    return differ * (100 + percent) <= sizes * (100 - percent)
+
+
+def _fold(signs: np.ndarray) -> np.ndarray:
+    half = signs.shape[1] // 2
+    return signs[:, :half] ^ signs[:, half:]
+
+
+def _possible_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, signs: list[np.ndarray], percent: int) -> np.ndarray:
+    """(a, b) of one bucket, in components of their own, that sizes and signs allow to be linked."""
+    words, found = np.array([len(x) for x in signs]), []
+    for width in np.unique(words):
+        here, twice = np.flatnonzero(words == width), np.flatnonzero(words == 2 * width)
+        one = np.stack([signs[i] for i in here])
+        other = np.concatenate([one, _fold(np.stack([signs[i] for i in twice]))]) if len(twice) else one
+        there = np.concatenate([here, twice])
+        step = max(1, (1 << 20) // other.size)
+        for begin in range(0, len(here), step):
+            rows = np.arange(begin, min(len(here), begin + step))
+            differ = np.bitwise_count(one[rows, None] ^ other[None]).sum(axis=2, dtype=np.int64)
+            x, y = n[here[rows]][:, None], n[there][None]
+            ok = (differ * (100 + percent) <= (x + y) * (100 - percent)) & (np.minimum(x, y) * 100 >= np.maximum(x, y) * percent)
+            ok &= (root[here[rows]][:, None] != root[there][None]) & (rows[:, None] < np.arange(len(there))[None])
+            i, j = np.nonzero(ok)
+            found.append(np.stack([node[here[rows[i]]], node[there[j]]]))
+    pairs = np.concatenate(found, axis=1)
+    return np.stack([pairs.min(axis=0), pairs.max(axis=0)])
+
+
+def _compare_buckets(percent: int, most: int):
+    """Arrow mapper over members in order of their key: (key, a, b) of possible pairs, or (key, null, null) of a
+    bucket that has more than ``most`` of them for each member."""
+    names = ["key", "a", "b"]
+
+    def bucket(key: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        node, root, n = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("node", "root", "n"))
+        signs = []
+        for p in parts:
+            listed = p.column("sign")
+            edges = listed.offsets.to_numpy()
+            signs += np.split(listed.values.to_numpy()[edges[0] : edges[-1]].view(np.uint64), edges[1:-1] - edges[0])
+        pairs = _possible_pairs(node, root, n, signs, percent)
+        if pairs.shape[1] > most * len(node):
+            return pa.RecordBatch.from_arrays([pa.array([key]), *[pa.array([None], pa.int64())] * 2], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(pairs.shape[1], key)), *map(pa.array, pairs)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else []
+            for begin, end in zip(edges[:-1], edges[1:]):
+                if held and keys[begin] != last:
+                    yield bucket(last, held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                last = int(keys[begin])
+        if held:
+            yield bucket(last, held)
+
+    return run
 
-    def partners(x):
-        apart = lambda y: (x["node"] < y["node"]) & (x["root"] != y["root"]) & (
-            F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
-        return F.transform(F.filter("list", apart), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
 
-    return listed.select(F.inline(F.flatten(F.transform("list", partners))))
+def _all_pairs(members: DataFrame, percent: int, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of buckets of up to ``DIRECT`` members that sizes and signs allow
+    to be linked, and the keys of buckets with so many that they are better split."""
+    placed = members.join(signs, "node").select("key", "node", "root", "n", "sign")
+    found = cut_lineage(placed.repartition("key").sortWithinPartitions("key").mapInArrow(
+        _compare_buckets(percent, CROWDED), "key long, a long, b long"))
+    return found.filter("a is not null").select("a", "b"), found.filter("a is null").select("key")
 
 
 def _difference_buckets(groups: DataFrame, links: _Links) -> DataFrame:
@@ -266,21 +371,22 @@ def _difference_buckets(groups: DataFrame, links: _Links) -> DataFrame:
     return held.drop("kind", "near").join(cut_lineage(useful.select("key")).hint("merge"), "key")
 
 
-def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _linked(members: DataFrame, sets: DataFrame, percent: int, signs: DataFrame) -> DataFrame | None:
     """(node, root) after every two nodes that share a bucket were compared or are in one component.
 
     ``members`` has key, node, degree and n, the size of the set. Each turn compares,
     in every bucket that still holds nodes of different components, all nodes with
     a centre, the node that shares buckets with most others: of copies that each
     differ from a common text in their own way it is the closest to that text.
-    Buckets of up to ``DIRECT`` members that are not settled by that are compared
-    pair by pair. Larger ones are split into buckets of nodes that share a
+    In buckets of up to ``DIRECT`` members that are not settled by that, signs are compared
+    pair by pair, and sets where the signs allow a link, unless these are more than ``CROWDED``
+    for each member. Other buckets are split into buckets of nodes that share a
     difference from the centre, see :func:`_difference_buckets`, which the next
     turn takes up. A bucket all of whose members have been around this centre before
     holds nothing new. It ends when no bucket is open; no number of turns, pairs or
     members is a limit.
     """
-    links, around, left = _Links(sets, percent), None, members
+    links, around, left = _Links(sets, percent, signs), None, members
     while True:
         held = _open(left, links.roots)
         if held.isEmpty():
@@ -288,10 +394,13 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | No
         heads = cut_lineage(held.groupBy("key").agg(F.max(F.struct("degree", F.xxhash64("node").alias("h"), "node", "n")).alias("c")).select(
             "key", F.col("c.node").alias("c"), F.col("c.n").alias("cn")))
         stars = held.join(heads, "key").filter("node <> c").filter(_may_link("n", "cn", percent))
-        links.compare(stars.select(*_pair("node", "c")))
+        links.compare(links.possible(stars.select(
+            *_pair("node", "c"), F.when(F.col("node") < F.col("c"), F.col("n")).otherwise(F.col("cn")).alias("na"),
+            F.when(F.col("node") < F.col("c"), F.col("cn")).otherwise(F.col("n")).alias("nb"))))
         held = _open(held, links.roots)
-        links.compare(_all_pairs(held.filter(F.col("m") <= DIRECT), percent))
-        large = held.filter(F.col("m") > DIRECT)
+        pairs, crowded = _all_pairs(held.filter(F.col("m").between(3, DIRECT)), percent, links.signs)
+        links.compare(pairs)
+        large = held.join(crowded, "key", "left_semi").union(held.filter(F.col("m") > DIRECT))
         if large.isEmpty():
             return links.roots
         grouped = large.join(heads.select("key", "c"), "key").filter("node <> c").select("key", "c", "node", "degree", "n")
@@ -344,7 +453,7 @@ def near_groups(
     digest = numbered(_described(rows, size, False))
     full = digest.filter("n > 0")
     nodes = cut_lineage(full.groupBy(*marks).agg(
-        F.min("_row").alias("node"), F.min("id").alias("low"), F.first("bands").alias("bands")))
+        F.min("_row").alias("node"), F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sign").alias("sign")))
     buckets = nodes.select("node", F.explode("bands").alias("key"))
     shared = cut_lineage(buckets.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
     met = cut_lineage(buckets.join(shared.hint("merge"), "key"))  # plain tables: a hot bucket can be split
@@ -352,9 +461,10 @@ def near_groups(
     members = cut_lineage(met.join(degrees, "node").select("key", "node", "degree", "n"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(*marks, "node")
     wanted = cut_lineage(wanted)
+    signs = cut_lineage(nodes.select("node", "sign").join(wanted.select("node"), "node"))
     again = sieve(_described(rows, size, True), wanted, "c1")
     sets = again.dropDuplicates(marks).join(wanted, marks).select("node", "shingles")
-    roots = _linked(members, cut_lineage(sets), percent)
+    roots = _linked(members, cut_lineage(sets), percent, signs)
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     placed = nodes.select(*marks, "node", "low").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

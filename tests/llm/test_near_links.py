@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from reference import near_components
@@ -93,3 +94,37 @@ def test_filter_grows_with_its_content(spark):
     passed = nd.sieve(spark.range(300_000).select(F.col("id").alias("c1")), wanted, "c1")
     assert passed.filter("c1 % 3 = 0 and c1 < 150000").count() == 50_000
     assert passed.count() < 75_000
+
+
+def test_signs_never_rule_out_a_link():
+    """The bits in which two signs differ are no more than the shingles, folded or not, and tell far sets apart."""
+    rng = np.random.default_rng(6)
+    for size, lost in [(40, 3), (250, 20), (300, 0), (500, 30), (530, 40), (9000, 800)]:
+        one = np.unique(rng.integers(0, 2**63, size, np.uint64))
+        two = np.union1d(one[lost:], rng.integers(0, 2**63, lost // 2, np.uint64))
+        words, flat = nd.parity_signs(np.array([len(one), len(two)]), np.concatenate([one, two]))
+        signs = np.split(flat, words[:1])
+        assert [len(x) for x in signs] == words.tolist()
+        n = np.array([len(one), len(two)])
+        apart = len(np.setxor1d(one, two))
+        found = nd._possible_pairs(np.arange(2), np.arange(2), n, signs, 80).shape[1]
+        assert found == 1 or 9 * apart > n.sum()
+    far = rng.integers(0, 2**63, (2, 300), np.uint64)
+    words, flat = nd.parity_signs(np.array([300, 300]), np.sort(far).ravel())
+    assert nd._possible_pairs(np.arange(2), np.arange(2), np.array([300, 300]), np.split(flat, words[:1]), 80).shape[1] == 0
+
+
+def test_pairs_far_apart_in_one_bucket_are_not_joined_with_their_sets(spark, monkeypatch):
+    """60 texts that share half of their words meet in many buckets; no pair of them is compared on its sets."""
+    rng, compared = random.Random(7), []
+    old = nd._similar
+    monkeypatch.setattr(nd, "_similar", lambda sets, pairs, percent: (compared.append(pairs.count()), old(sets, pairs, percent))[1])
+    words = [f"common{i}" for i in range(200)]
+    assert check(spark, [" ".join(words + [f"own{n}w{i}" for i in range(100)]) for n in range(60)]) == 60
+    assert sum(compared) == 0
+
+
+def test_crowded_buckets_go_by_differences(spark, monkeypatch):
+    """With more possible pairs than are listed, every link is still found."""
+    monkeypatch.setattr(nd, "CROWDED", 2)
+    assert check(spark, family(random.Random(1), 376, 40, 7, 43, "x")) == 40
