@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,57 +63,155 @@ def unpack_ids(data: bytes, count: int, bits: int, start: int = 0) -> np.ndarray
     return (out.ravel()[start - begin : need] & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+def _cut_table() -> np.ndarray:
+    """Kinds of two neighbouring bytes between which every text can be cut, as a flat table."""
+    out = np.zeros((KINDS, KINDS), bool)
+    for left in (LETTER, DIGIT, MARK):
+        for right in (LETTER, DIGIT, MARK, QUOTE):
+            out[left, right] = left != right and (left, right) != (MARK, QUOTE)
+    out[[LETTER, DIGIT, MARK, QUOTE, OTHER], WHITE] = True
+    return out.ravel()
+
+
+def _kind_table() -> np.ndarray:
+    out = np.full(256, ODD, np.uint8)  # control characters
+    out[0x21:0x7F] = MARK
+    out[[*range(65, 91), *range(97, 123)]] = LETTER
+    out[48:58], out[39] = DIGIT, QUOTE
+    out[[9, 10, 11, 12, 13, 32]] = WHITE
+    out[128:] = OTHER
+    return out
+
+
+def _white_ends() -> np.ndarray:
+    """Last two bytes that white space outside ASCII can have, first times 256 plus second."""
+    out = np.zeros(1 << 16, bool)
+    spaces = [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    for code in (chr(c).encode() for c in spaces):
+        out[code[-2] * 256 + code[-1]] = True
+    return out
+
+
+LETTER, DIGIT, MARK, QUOTE, WHITE, OTHER, ODD, KINDS = range(8)  # those before WHITE are visible ASCII or letters
+KIND, CUT, WHITE_END = _kind_table(), _cut_table(), _white_ends()
+
+
+def _cuts_before(data: np.ndarray) -> np.ndarray:
+    """Where a byte-level tokenizer always starts a new word, whatever stands around: flags by byte.
+
+    Words are runs of letters, of digits or of other marks, with a space before them, and white
+    space; an apostrophe may take letters after it. So runs of different kinds part, and white space
+    parts from what stands before it. Nothing is cut inside white space, after an
+    apostrophe or next to characters whose kind is not known from their bytes.
+    """
+    kinds = KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xD1))  # of two bytes; all of these are letters but two
+    lead = lead[np.isin(data[lead], [0xC3, 0xC4, 0xC5, 0xD0, 0xD1])]
+    lead = lead[(data[lead] != 0xC3) | ~np.isin(data[lead + 1], [0x97, 0xB7])]
+    kinds[lead] = kinds[lead + 1] = LETTER
+    out = np.zeros(len(data), bool)
+    out[1:] = CUT[kinds[:-1] * np.uint8(KINDS) + kinds[1:]]
+    high = np.flatnonzero(out[1:] & (kinds[:-1] == OTHER)) + 1
+    out[high[WHITE_END[data[high - 2].astype(np.int64) * 256 + data[high - 1]]]] = False
+    return out
+
+
+def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of a text or binary column without nulls."""
+    if not len(texts):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
+def _rows(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 class _Encoder:
-    """A tokenizer and the ids of the pieces it has met, in two flat arrays."""
+    """A tokenizer and the ids of the pieces it has met, in flat columns."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.made = Tokenizer.from_file(path)
-        added = self.made.get_added_tokens_decoder()
-        plain = [t for t in added.values() if not (t.lstrip or t.rstrip or t.single_word) and " " not in t.content]
-        #: a token of its own that stands between pieces: no piece can grow over it
-        self.mark_id, self.mark = next(((i, t.content) for i, t in sorted(added.items()) if t in plain and t.special), (None, None))
-        self.cuts = self.mark is not None and len(plain) == len(added)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        #: strings that the tokenizer takes out of a text before it looks for words
+        self.added = [t.content for t in self.made.get_added_tokens_decoder().values()]
+        split, model = said.get("pre_tokenizer") or {}, said["model"]
+        self.cuts = (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and split.get("add_prefix_space") is False
+            and not any(said.get(k) for k in ("normalizer", "truncation", "padding")) and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        )
+        #: bytes of each id's token: a byte-level token has a character for each
+        self.widths = np.zeros(max(self.made.get_vocab(with_added_tokens=True).values()) + 1, np.int64)
+        for token, number in self.made.get_vocab(with_added_tokens=False).items():
+            self.widths[number] = len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-
-    def _add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        for place, piece in enumerate(pieces, len(self.places)):
-            self.places[piece] = place
-        self.ids.frombytes(ids.astype(np.uint32).tobytes())
-        self.ends.frombytes((np.cumsum(sizes, dtype=np.int64) + self.ends[-1]).tobytes())
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.made.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one text with marks between them."""
-        holding = [p for p in pieces if self.mark in p]
-        rest = [p for p in pieces if self.mark not in p] if holding else pieces
-        for begin in range(0, len(rest), TOGETHER):
-            some = rest[begin : begin + TOGETHER]
-            ids = self._ids(self.mark.join(some))
-            marks = np.flatnonzero(ids == self.mark_id)
-            edges = np.concatenate([[-1], marks, [len(ids)]])
-            self._add(some, np.diff(edges) - 1, np.delete(ids, marks))
-        for piece in holding:  # the text of the mark itself
-            ids = self._ids(piece)
-            self._add([piece], np.array([len(ids)]), ids)
-
-    def numbers(self, pieces: list[str]) -> np.ndarray:
+        self.pieces, self.ids = (pa.array([], pa.large_binary()) for _ in range(2))
+
+    def _apart(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = [np.array(c.ids, np.uint32) for c in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([len(c) for c in coded], np.int64), np.concatenate([*coded, np.empty(0, np.uint32)])
+
+    def _together(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of pieces that a text can be cut into, encoded as that text.
+
+        The bytes of the tokens tell which are whose. Where they do not fall on the
+        pieces' ends, or the text has an added token, each piece is encoded alone.
+        """
+        text = data.tobytes().decode()
+        if not any(a in text for a in self.added):
+            ids = np.array(self.made.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.concatenate([[0], np.cumsum(self.widths[ids])])
+            places = np.searchsorted(stops, offsets)
+            if stops[-1] == len(data) and (stops[places] == offsets).all():
+                return np.diff(places), ids
+        return self._apart([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """Encode new pieces, those that can stand behind each other many in one text; returns their places.
+
+        These end where white space can follow and begin with white space, or get a new line, which
+        is a word of its own before anything else, and whose id is taken out again.
+        """
+        offsets, data = _flat(new)
+        first, last = KIND[data[offsets[:-1]]], offsets[1:] - 1
+        high = WHITE_END[data[np.maximum(last - 1, 0)].astype(np.int64) * 256 + data[last]] & (data[last] >= 128)
+        after = CUT[KIND[data[last]] * np.uint8(KINDS) + np.uint8(WHITE)] & ~high & (first <= WHITE)
+        group = np.where(after, first < WHITE, 2)
+        spaced, led, alone = (new.filter(pa.array(group == g)) for g in range(3))
+        sizes, ids = [], []
+        for some, lead in ((spaced, b""), (led, b"\n")):
+            offsets, data = _flat(pc.binary_join_element_wise(pa.scalar(lead, pa.large_binary()), some, pa.scalar(b"", pa.large_binary())))
+            for begin in range(0, len(some), TOGETHER):
+                edges = offsets[begin : begin + TOGETHER + 1]
+                counts, coded = self._together(edges - edges[0], data[edges[0] : edges[-1]])
+                sizes.append(counts - len(lead))
+                ids.append(np.delete(coded, np.cumsum(counts) - counts) if lead else coded)
+        counts, coded = self._apart([p.decode() for p in alone.to_pylist()])
+        stops = np.concatenate([[0], np.cumsum(np.concatenate([*sizes, counts]))]) * 4
+        places = np.empty(len(new), np.int64)
+        places[np.argsort(group, kind="stable")] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+        self.pieces = pa.concat_arrays([self.pieces, spaced, led, alone])
+        self.ids = pa.concat_arrays([self.ids, _rows(stops, np.concatenate([*ids, coded]))])
+        return places
+
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
         """Place of every piece; unknown ones are encoded first."""
-        found = np.array([self.places.get(p, -1) for p in pieces], np.int64)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            known = len(self.places)
-            new = [pieces[i] for i in missing.tolist()]
-            self.learn(new)
-            found[missing] = [self.places[p] for p in new] if any(self.mark in p for p in new) else known + np.arange(len(new))
+        found = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy()
+        missing = found < 0
+        if missing.any():
+            found = found.astype(np.int64)
+            found[missing] = self.learn(pieces.filter(pa.array(missing)))
         return found
 
 
@@ -128,46 +226,34 @@ def _encoder(path: str) -> _Encoder:
 def encode_texts(texts: pa.Array, path: str, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, ids) of whole texts as the tokenizer's own settings give them; null is empty.
 
-    A byte-level tokenizer never joins a space to what stands before it unless
-    that is white space, so a text whose spaces all follow other characters is
-    cut before each of them, and a piece is encoded once and then remembered, until
-    more than ``remembered`` are; then all are forgotten. Any other text is encoded
-    in one go, and so are all if an added token takes in white space around it.
+    A byte-level tokenizer encodes every word by itself, so a text is cut where a
+    word always starts, and a piece is encoded once and then remembered, until
+    more than ``remembered`` are; then all are forgotten. A text with an added token is
+    encoded in one go, and so are all if the tokenizer is not a plain byte-level one.
     """
     coder = _encoder(path)
-    if len(coder.places) > remembered:
+    if len(coder.pieces) > remembered:
         coder.forget()
     texts = pc.fill_null(texts, "")
-    if coder.cuts:
-        whole = pc.match_substring_regex(texts, r"[\s\p{Z}\x{85}\x0b\x1c-\x1f] |^ ").to_numpy(zero_copy_only=False)
-    else:
-        whole = np.ones(len(texts), bool)
-    cut = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
-    flat = cut.flatten()
-    edges = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
-    opening = np.zeros(len(flat), bool)
-    opening[edges[:-1][np.diff(edges) > 0]] = True
-    pieces = pc.if_else(pa.array(opening), flat, pc.binary_join_element_wise("", flat, " ")).dictionary_encode()
-    if coder.cuts:
-        known = coder.numbers(pieces.dictionary.to_pylist())
-    else:
-        known = np.zeros(len(pieces.dictionary), np.int64)  # there are only empty ones
-    ends, values = np.frombuffer(coder.ends, np.int64), np.frombuffer(coder.ids, np.uint32) if len(coder.ids) else np.empty(0, np.uint32)
-    begins = ends[known] if coder.cuts else known
-    sizes = ends[known + 1] - begins if coder.cuts else known
-    at = pieces.indices.to_numpy()
-    taken = sizes[at]
-    stops = np.concatenate([[0], np.cumsum(taken)])
-    ids = values[np.repeat(begins[at] - stops[:-1], taken) + np.arange(stops[-1])]
-    del ends, values  # the arrays can grow again
-    lengths = stops[edges[1:]] - stops[edges[:-1]]
+    whole = np.full(len(texts), not coder.cuts)
+    for content in coder.added:
+        whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+    offsets, data = _flat(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+    starts = _cuts_before(data)
+    starts[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.append(np.flatnonzero(starts), len(data))
+    pieces = _rows(starts, data).dictionary_encode()
+    known = coder.numbers(pieces.dictionary)
+    stops, flat = _flat(coder.ids.take(pa.array(known[pieces.indices.to_numpy()])))
+    ids, stops = flat.view(np.uint32), stops // 4
+    lengths = np.diff(stops[np.searchsorted(starts, offsets)])
     if whole.any():
         parts = np.split(ids, np.cumsum(lengths)[:-1])
-        rows = np.flatnonzero(whole)
-        coded = coder.made.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
-        for row, code in zip(rows, coded):
-            parts[row] = np.array(code.ids, np.uint32)
-        lengths, ids = np.array([len(p) for p in parts], np.int64), np.concatenate([*parts, np.empty(0, np.uint32)])
+        sizes, coded = coder._apart(texts.filter(pa.array(whole)).to_pylist())
+        for row, some in zip(np.flatnonzero(whole), np.split(coded, np.cumsum(sizes)[:-1])):
+            parts[row] = some
+        lengths[whole] = sizes
+        ids = np.concatenate([*parts, np.empty(0, np.uint32)])
     return lengths, ids
 
 

@@ -1,5 +1,6 @@
 """Operators that read texts in Python tasks, against plain versions and held-out labels."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -61,6 +62,45 @@ def test_pieces_encode_like_whole_texts(tokenizer):
             assert ids[end - n : end].tolist() == made.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_are_cut_where_the_tokenizer_cuts(tokenizer):
+    """Every three of these in a row, kept pieces or not, like whole texts."""
+    some = [" ", "  ", "\n", "\x1c", "\x00", "\u0085", "\u00a0", "\u2003", "\u200b", "\u3000", "b", "S", "s", "re", "'", "''", ".", "(", "7",
+            "\u0663", "\u00bd", "\u00e9", "\u0301", "\u00d7", "\u00f7", "\u00df", "\u0436", "\u0482", "\u201c", "\u65e5", "\U0001f600", "<|endoftext|>"]
+    texts = ["".join(t) for t in itertools.product(some, repeat=3)]
+    want = tokenizer[1].encode_batch(texts, add_special_tokens=False)
+    for remembered in (0, 10**6):
+        for begin in range(0, len(texts), 4096):
+            lengths, ids = encode_texts(pa.array(texts[begin : begin + 4096]), tokenizer[0], remembered)
+            coded = [w.ids for w in want[begin : begin + 4096]]
+            assert lengths.tolist() == [len(c) for c in coded] and ids.tolist() == [i for c in coded for i in c]
+    assert [len(x) for x in encode_texts(pa.array([], pa.string()), tokenizer[0])] == [0, 0]
+    assert [x.tolist() for x in encode_texts(pa.array(["", None]), tokenizer[0])] == [[0, 0], []]
+
+
+def test_a_word_is_encoded_once_whatever_follows_it(tokenizer):
+    """The text that goes to the library grows with the words, not with the marks behind them."""
+    coder = tf._encoder(tokenizer[0])
+    made, given = coder.made, []
+
+    class Counting:
+        @staticmethod
+        def encode_batch_fast(texts, **settings):
+            given.extend(texts)
+            return made.encode_batch_fast(texts, **settings)
+
+    words = ["".join(w) for w in itertools.product("bdfk", "aeou", "lmnr", "aiou")]
+    texts = [f"so {w}{mark} then" for w in words for mark in (",", ".", ";", ":", "?", "!", "")]
+    coder.forget()
+    coder.made = Counting
+    try:
+        lengths, ids = encode_texts(pa.array(texts), tokenizer[0])
+    finally:
+        coder.made = made
+    coded = [c.ids for c in made.encode_batch(texts, add_special_tokens=False)]
+    assert lengths.tolist() == [len(c) for c in coded] and ids.tolist() == [i for c in coded for i in c]
+    assert sum(map(len, given)) <= sum(len(w) + 1 for w in words) + 50  # not seven times as much
+
+
 def test_token_query(spark, documents, tokenizer):
     got = q.op3_packed_token_ids(spark, SF_DIR).toPandas().set_index("doc_id")
     place = 0
